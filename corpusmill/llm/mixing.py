@@ -15,7 +15,7 @@ small, are ordered in a second look. So a source that holds a third of all rows
 built of DataFrame functions, and u comes from an MD5 digest of doc_id, so reruns agree.
 
 Null and blank texts have size 0 and are taken whole or not at all like others, for 0 words; a null source is one
-source of its own; repeated rows draw the same u and count one by one. An empty table gives no rows.
+source of its own; repeated rows draw the same u and are drawn together. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not, table, uniform, word_count
+from .common import checkpointed, small_or_not, table, uniform, word_count
 
 #: Weights of the sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -64,41 +64,46 @@ def _bin(key: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (long) for every row of docs (doc_id, source, text)."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sizes, share, most, weights)
+    """doc (the row of docs as a struct), size, source_size, target, copies (long) for every row of docs (doc_id,
+    source, text and any other columns)."""
+    sizes = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    slim = checkpointed(sizes.select("doc_id", "source", "size"))
+    targets = source_targets(slim, share, most, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("sure", F.floor(rate + 1e-9)).withColumn("rest", F.greatest(F.col("target") - F.col("sure") * F.col("source_size"), F.lit(0.0)))
     # sum of size * p is the rest: p = scale * size, unless that passes HIGH and the order decides alone
-    targets = targets.withColumn("scale", F.when(F.col("sq") > 0, F.col("rest") / F.col("sq")).otherwise(F.lit(0.0)))
-    u = uniform(F.col("doc_id"))
-    p = F.greatest(F.least(F.col("scale") * F.col("size"), F.lit(HIGH)), F.lit(1e-6))
-    key = (u / (1.0 - u)) / (p / (1.0 - p))
-    targets = small_or_not(targets.withColumnRenamed("source", "s"))
-    ranked = sizes.join(targets, sizes["source"].eqNullSafe(targets["s"])).select("doc_id", "source", "size", "source_size", "target", "sure", "rest", key.alias("key"))
-    ranked = ranked.withColumn("bin", _bin(F.col("key")))
-
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    bins = bins.withColumn("after", F.sum("words").over(upto)).withColumn("start", F.col("after") - F.col("words"))
+    scale = F.when(F.col("sq") > 0, F.col("rest") / F.col("sq")).otherwise(F.lit(0.0))
+    targets = small_or_not(targets.select(F.col("source").alias("s"), "source_size", "target", "sure", "rest", scale.alias("scale")))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        u = uniform(F.col("doc_id"))
+        p = F.greatest(F.least(F.col("scale") * F.col("size"), F.lit(HIGH)), F.lit(1e-6))
+        joined = rows.join(targets, rows["source"].eqNullSafe(targets["s"])).drop("s")
+        keyed = joined.withColumn("key", (u / (1.0 - u)) / (p / (1.0 - p)))
+        return keyed.withColumn("bin", _bin(F.col("key"))).withColumn("rank", F.struct("key", "doc_id", "size"))
+
+    first = ranked(slim)
+    bins = first.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    bins = bins.withColumn("after", F.sum("words").over(Window.partitionBy("source").orderBy("bin"))).withColumn("start", F.col("after") - F.col("words"))
     # the bin in which the rest is met; a source has at most BINS rows here
-    met = small_or_not(bins.where("start < rest and after >= rest").select(F.col("source").alias("s"), F.col("bin").alias("met"), "start"))
-
-    placed = ranked.join(met, ranked["source"].eqNullSafe(met["s"]), "left").drop("s")
-    clear = placed.where("met is null or bin <> met").withColumn("drawn", ((F.col("rest") > 0) & (F.col("met").isNull() | (F.col("bin") < F.col("met")))).cast("long"))
-    near = placed.where("bin = met")
-    rank = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.col("start") + F.sum("size").over(rank)
-    # taken as long as half of the document or more fits
-    near = near.withColumn("drawn", (2 * at - F.col("size") <= 2 * F.col("rest")).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("drawn")).cast("long").alias("copies")]
-    return clear.select(*columns).union(near.select(*columns))
+    met = small_or_not(bins.where("start < rest and after >= rest").select(F.col("source").alias("m"), F.col("bin").alias("met"), "start"))
+    near = first.join(met, first["source"].eqNullSafe(met["m"]) & (first["bin"] == met["met"]))
+    at = F.col("start") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))
+    # taken as long as half of the document or more fits; the last one taken is the source's cut
+    cuts = near.withColumn("at", at).groupBy("source").agg(F.max(F.when(2 * F.col("at") - F.col("size") <= 2 * F.col("rest"), F.col("rank"))).alias("cut"))
+    ends = met.join(cuts, met["m"].eqNullSafe(cuts["source"]), "left").select("m", "met", "cut")
+    ends = small_or_not(ends)
+    every = ranked(sizes)
+    every = every.join(ends, every["source"].eqNullSafe(ends["m"]), "left")
+    inside = F.col("met").isNull() | (F.col("bin") < F.col("met")) | ((F.col("bin") == F.col("met")) & F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False)))
+    drawn = ((F.col("rest") > 0) & inside).cast("long")
+    return every.select("doc", "size", "source_size", "target", (F.col("sure") + drawn).cast("long").alias("copies"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source size, target and words taken of every document."""
-    out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP6_SQL = r"""
@@ -127,7 +132,7 @@ WITH sizes AS (
     greatest(least(CASE WHEN sq > 0 THEN rest / sq ELSE 0 END * s.size, 0.98::DOUBLE), 1e-6::DOUBLE) AS p
   FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
 ), ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM odds
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size) AS reach FROM odds
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (sure + CASE WHEN rest > 0 AND 2 * reach - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -10,10 +10,18 @@ from .bpe import op2_byte_bpe
 from .langid import op10_language_id
 from .merkle import op3_fingerprints
 from .mixing import OP6_SQL, op6_mixing
+from .quality import op1_quality
 from .rules import op4_quality_rules
 from .simhash import op9_simhash
+from .tokencount import op8_token_counts
+from .toxicity import op5_toxicity
+from .webtext import op7_html_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_fingerprints, op4_quality_rules, op6_mixing, op9_simhash, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_quality, op2_byte_bpe, op3_fingerprints, op4_quality_rules, op5_toxicity,
+        op6_mixing, op7_html_text, op8_token_counts, op9_simhash, op10_language_id,
+    )
 }
 SQL: dict[str, str] = {"op6_mixing": OP6_SQL}

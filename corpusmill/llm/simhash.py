@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -178,15 +178,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long), component_id of every row of docs (doc_id, text)."""
-    marked = checkpointed(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+def groups(marked: DataFrame) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint of marked (doc_id, fp)."""
     least = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")))
     roots = components(links(least.select("fp")))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return named.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (long), component_id of every row of docs (doc_id, text)."""
+    marked = checkpointed(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    return marked.join(groups(marked), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) without near duplicates: of each component the document of
+    least doc_id, one row of it if rows repeat; of a component without any doc_id one row."""
+    rows = docs.select(F.struct("*").alias("doc"))
+    marked = checkpointed(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    by_fp = checkpointed(groups(marked))
+    gone = marked.join(by_fp, "fp").where("doc_id <> component_id").select("doc_id").distinct()
+    known = rows.where("doc.doc_id is not null").withColumn("id", F.col("doc.doc_id")).join(gone, F.col("id") == gone["doc_id"], "left_anti")
+    one = known.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))))
+    lone = rows.where("doc.doc_id is null").withColumn("fp", fingerprint(F.col("doc.text"))).join(by_fp.where("component_id is null"), "fp")
+    lone = lone.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("doc.text"))))
+    return one.where("n = 1").select("doc.*").unionByName(lone.where("n = 1").select("doc.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
