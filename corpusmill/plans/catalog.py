@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusmill.operators import aggregates, evaluation, joins, relational, retrieval, series, signals, text, usage, windows
+from corpusmill.streaming import streams
 
-from pyspark.sql import DataFrame, SparkSession
+from . import registry
 
+#: Modules whose import enters their queries.
+MODULES = (relational, joins, aggregates, windows, text, retrieval, signals, usage, series, evaluation, streams)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
