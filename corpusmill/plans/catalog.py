@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.operators import aggregates, evaluation, joins, relational, retrieval, scalars, series, signals, text, usage, windows
+from corpusmill.operators import aggregates, evaluation, joins, lifecycle, relational, retrieval, scalars, series, signals, text, usage, windows
 from corpusmill.streaming import streams
 
 from . import registry
 
 #: Modules whose import enters their queries.
-MODULES = (relational, joins, aggregates, windows, text, scalars, retrieval, signals, usage, series, evaluation, streams)
+MODULES = (relational, joins, aggregates, windows, text, scalars, retrieval, signals, usage, series, evaluation, lifecycle, streams)
 
 
 def queries() -> dict[str, registry.Query]:
