@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches() -> None:
+    """Arrow batches of at most a thousand texts or 16 MB: documents may be long, and workers hold a batch twice."""
+    conf = SparkSession.active().conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def text_udf(return_type: str) -> Callable:
+    """An Arrow function over texts."""
+    small_batches()
+    return F.arrow_udf(return_type)
+
+
 def words(text: Column) -> Column:
     """The array of words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
@@ -53,13 +67,14 @@ def uniform(*key: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
     """Rows (doc_id, text, label) to learn from: the labelled rows that allowed accepts, at most about bound of them
     (every row if there are fewer), picked by a digest of doc_id. Documents that occur more than once count as often.
-    The bound keeps the fit, which happens on the driver, the same size for any input."""
+    The bound keeps the fit, which happens on the driver, the same size for any input, and
+    the picked ids small enough to broadcast."""
     given = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     given = given.groupBy("doc_id").agg(F.max("label").alias("label")).where(allowed)
     n = given.count()
     if n > bound:
         given = given.where(uniform(F.col("doc_id"), F.lit(label)) < bound / n)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(given, "doc_id")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(given), "doc_id")
 
 
 def small_or_not(df: DataFrame, rows: int = 50_000) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table, text_udf
 
 #: Cells that the n-grams are hashed into; a power of two. Matrix: languages x BUCKETS x 4 bytes.
 BUCKETS = 1 << 15
@@ -86,6 +86,7 @@ def cell_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             at = n.nonzero()[0]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": at, "n": n[at]})
 
+    small_batches()
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
     return rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
@@ -122,7 +123,7 @@ def language(text: Column, model: tuple[list[str], np.ndarray], spark: SparkSess
     """struct<lang, score> of each text; the matrix, whose size doesn't depend on the input's, is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @text_udf("lang string, score double")
     def identify_language(texts: pa.Array) -> pa.Array:
         names, scores = predict(texts.to_pylist(), *shared.value)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])

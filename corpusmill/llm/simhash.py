@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, table
+from .common import checkpointed, table, text_udf
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Variants that one task holds at a time.
@@ -55,7 +55,7 @@ def simhash(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprint(text: Column, width: int = SHINGLE) -> Column:
     """The fingerprint of each text as a long of the same 64 bits."""
 
-    @F.arrow_udf("long")
+    @text_udf("long")
     def simhash_text(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([simhash(t, width) for t in texts.to_pylist()], np.uint64).view(np.int64))
 

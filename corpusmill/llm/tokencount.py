@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_udf
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Code points of a batch, about, and of a chunk.
@@ -269,7 +269,7 @@ def counter(path: str) -> Counter:
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
     """How many tokens each text has, long."""
 
-    @F.arrow_udf("long")
+    @text_udf("long")
     def count_tokens(texts: pa.Array) -> pa.Array:
         return pa.array(counter(path).count(texts.to_pylist()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_udf
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -172,7 +172,7 @@ def main_text(html: str | None) -> str:
 def extracted(html: Column) -> Column:
     """The main text of each page, string."""
 
-    @F.arrow_udf("string")
+    @text_udf("string")
     def extract_main_text(pages: pa.Array) -> pa.Array:
         return pa.array((main_text(p) for p in pages.to_pylist()), pa.string())
 
