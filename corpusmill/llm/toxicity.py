@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, labelled_sample, table
+from .common import checkpointed, fold, labelled_sample, small_batches, table, text_udf
 
 #: Labelled rows that the fit takes at most, about; entries that it keeps at most.
 SAMPLE, ENTRIES = 16_000, 4_000
@@ -112,16 +112,22 @@ def _candidates(rows: DataFrame, among: list[str] | None) -> DataFrame:
     return rows.select("text", "label").mapInArrow(count, "entry string, label int, n long").groupBy("entry", "label").agg(F.sum("n").alias("n"))
 
 
-def _weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+def _weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, kinds: int) -> np.ndarray:
+    """Logarithms of the odds of entries to occur in toxic against clean texts; 0 for those whose log-likelihood ratio
+    is no more than the best of so many kinds of entries would reach by chance."""
     odds = np.log((toxic + 0.3) / (n_toxic - toxic + 1.0)) - np.log((clean + 0.5) / (n_clean - clean + 1.0))
-    return np.where(toxic >= 1, odds - 1.0 / np.sqrt(toxic + 0.5), 0.0)  # less what few occurrences leave open
+    both, share = toxic + clean, n_toxic / max(1.0, n_toxic + n_clean)
+    with np.errstate(all="ignore"):
+        ratio = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0))
+    return np.where((odds > 0) & (ratio > 2 * np.log(max(kinds, 100))), odds, 0.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
+def _logistic(x: np.ndarray, y: np.ndarray, usual: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights that stay near the usual ones unless the rows tell otherwise."""
+    w = usual.copy()
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
+        grad = x.T @ (p - y) + ridge * (w - usual)
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
     return w
 
@@ -130,7 +136,8 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], list[float]]:
     """Weights of the entries and of the features, from rows (doc_id, text, label) that labelled_sample has bounded. The
     driver gets counts of candidate entries, then for each row of the sample which of them it holds."""
     given = {f" {w}": GIVEN for w in LEXICON}
-    usual = [-4.0, 1.0, 1.0, 0.5, 0.0, 0.0]
+    usual = [-3.0, 1.0, 0.5, 0.5, 0.0, 0.0]
+    small_batches()
     rows = checkpointed(sample)
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(sizes) < 2:
@@ -139,7 +146,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], list[float]]:
     toxic = _candidates(rows.where("label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(60_000).toPandas()
     clean = _candidates(rows.where("label = 0"), toxic["entry"].tolist()).toPandas()
     both = toxic.merge(clean, "left", "entry", suffixes=("", "_clean")).fillna(0)
-    both["w"] = _weights(both["n"].to_numpy(), both["n_clean"].to_numpy(), sizes[1], sizes[0])
+    both["w"] = _weights(both["n"].to_numpy(), both["n_clean"].to_numpy(), sizes[1], sizes[0], len(both))
     both = both[both["w"] >= LEAST].sort_values(["w", "n", "entry"], ascending=[False, False, True]).head(ENTRIES)
     names = list(dict.fromkeys([*both["entry"], *given]))
     place = {e: i for i, e in enumerate(names)}
@@ -164,8 +171,8 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], list[float]]:
         counts = np.zeros((2, len(names)))
         for i in np.flatnonzero(keep):
             counts[int(y[i]), sets[i]] += 1
-        w = _weights(counts[1], counts[0], (y * keep).sum(), ((1 - y) * keep).sum())
-        return np.where(counts.sum(axis=0) >= 3, w, np.maximum(base, np.where(counts[1] > 0, w, 0)))
+        w = _weights(counts[1], counts[0], (y * keep).sum(), ((1 - y) * keep).sum(), len(both))
+        return np.where(counts[0] > counts[1], w, np.maximum(base, w))  # a given entry stays, unless clean texts hold it
 
     def of(i: int, w: np.ndarray) -> list[float]:
         best: dict[int, float] = {}
@@ -179,7 +186,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], list[float]]:
         for i in np.flatnonzero(parts == part):
             x[i] = of(i, w)
     final = learned(np.ones(len(got), bool))
-    return {e: float(v) for e, v in zip(names, final) if v > 0}, _logistic(x, y).tolist()
+    return {e: float(v) for e, v in zip(names, final) if v > 0}, _logistic(x, y, np.array(usual)).tolist()
 
 
 def toxicity(text: Column, model: tuple[dict[str, float], list[float]], spark: SparkSession) -> Column:
@@ -187,7 +194,7 @@ def toxicity(text: Column, model: tuple[dict[str, float], list[float]], spark: S
     broadcast; each worker builds the automaton once."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("score double, matches array<string>")
+    @text_udf("score double, matches array<string>")
     def score_toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, head = shared.value
         entries, head = automaton(weights), np.array(head)
