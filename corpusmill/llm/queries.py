@@ -11,7 +11,7 @@ from .langid import op10_language_id
 from .merkle import op3_fingerprints
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op1_quality
-from .rules import op4_quality_rules
+from .rules import OP4_SQL, op4_quality_rules
 from .simhash import op9_simhash
 from .tokencount import op8_token_counts
 from .toxicity import op5_toxicity
@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_mixing, op7_html_text, op8_token_counts, op9_simhash, op10_language_id,
     )
 }
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_mixing": OP6_SQL}

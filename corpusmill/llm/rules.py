@@ -133,3 +133,41 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document."""
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_QUANTILES = """(SELECT {keys} name, any_value(total) AS total, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 2) AS q2, min(bin) FILTER (upto * 4 >= total * 3) AS q3 FROM (
+  SELECT {keys} name, bin, sum(n) OVER (PARTITION BY {keys} name ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys} name) AS total FROM (SELECT {keys} name, bin, sum(n) AS n FROM sketches GROUP BY {keys} name, bin))
+  GROUP BY {keys} name)"""
+_UP = " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in FLOORS.items())
+_FITS = " AND ".join(f"coalesce(m.{k} >= l.{k}_low AND m.{k} <= l.{k}_high, true)" for k in FLOORS)
+OP4_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+    SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS win FROM texts WHERE len(w) >= 3)
+), repeats AS (
+  SELECT doc_id, sum(least(3, coalesce(i - before, 3))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE n > 1) GROUP BY doc_id
+), counts AS (
+  SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(t, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(t, '\p{{L}}')) AS n_letters
+  FROM texts t LEFT JOIN repeats r ON r.doc_id = t.doc_id
+), measured AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words > 0 THEN floor(100 * word_chars / n_words) ELSE 0 END AS word_len,
+    CASE WHEN n_words > 0 THEN floor(1000 * n_symbols / n_words) ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN floor(1000 * n_dup_lines / n_lines) ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN floor(1000 * n_repeat_words / n_words) ELSE 0 END AS repeats, CASE WHEN n_letters > 0 THEN floor(1000 * n_capitals / n_letters) ELSE 0 END AS capitals FROM counts
+), sketches AS (
+  SELECT lang, source, name, CAST(floor(ln(1.0::DOUBLE + v) / ln({GAMMA}::DOUBLE)) AS INTEGER) AS bin, count(*) AS n FROM (
+    SELECT lang, source, unnest([{", ".join(f"'{k}'" for k in FLOORS)}]) AS name, unnest([{", ".join(FLOORS)}]) AS v FROM measured WHERE NOT base_failed) GROUP BY ALL
+), chosen AS (
+  SELECT o.lang, o.source, o.name, CASE o.name {_UP} END AS up, {", ".join(f"pow({GAMMA}::DOUBLE, CASE WHEN o.total >= {LEAST} THEN o.q{i} WHEN l.total >= {LEAST} THEN l.q{i} ELSE a.q{i} END) - 1 AS v{i}" for i in (1, 2, 3))}
+  FROM {_QUANTILES.format(keys="lang, source,")} o JOIN {_QUANTILES.format(keys="lang,")} l ON l.lang IS NOT DISTINCT FROM o.lang AND l.name = o.name JOIN {_QUANTILES.format(keys="")} a ON a.name = o.name
+), limits AS (
+  SELECT lang, source, {", ".join(f"max(high) FILTER (name = '{k}') AS {k}_high, max(low) FILTER (name = '{k}') AS {k}_low" for k in FLOORS)} FROM (
+    SELECT lang, source, name, greatest(v3 + {REACH} * (v3 - v2), v2 + up) AS high, CASE WHEN name = 'word_len' THEN least(v1 - {REACH} * (v2 - v1), v2 - {FLOORS["word_len"][0]}) ELSE -1 END AS low FROM chosen) GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_FITS} AS kept
+FROM measured m LEFT JOIN limits l ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source
+"""
