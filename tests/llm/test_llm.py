@@ -120,6 +120,14 @@ def test_folding_and_exceptions():
     assert toxicity.matches(toxicity.folded("unidiot"), entries) == []
 
 
+def test_logistic_weights_stay_put_on_separable_rows():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(5000), np.where(np.arange(5000) % 10 == 0, 8.0, 0.0), rng.random((5000, 4)) * 6])
+    y = (np.arange(5000) % 10 == 0).astype(float)
+    w = toxicity._logistic(x, y, np.array([-3.0, 1.0, 0.5, 0.5, 0.0, 0.0]))
+    assert np.abs(w).max() < 30 and ((x @ w > 0) == (y > 0)).all()
+
+
 # --- 2 and 8: tokenizers
 
 
