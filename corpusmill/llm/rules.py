@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not, table, words
+from .common import checkpointed, small_or_not, table, words
 
 #: Ratio of neighbouring bin edges.
 GAMMA = 1.02
@@ -119,7 +119,7 @@ def thresholds(sketch: DataFrame, least: int = LEAST, reach: float = REACH) -> D
 
 def quality_rules(docs: DataFrame, least: int = LEAST, reach: float = REACH) -> DataFrame:
     """The measured rows of docs (doc_id, lang, source, text) with kept."""
-    rows = measured(docs)
+    rows = checkpointed(measured(docs))  # a few numbers for each text; both the sketches and the verdict read them
     limits = thresholds(sketches(rows), least, reach).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{k}_{s}" for k in FLOORS for s in ("low", "high")])
     limits = small_or_not(limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
