@@ -54,12 +54,12 @@ def citation_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE lower(substr(o_orderpriority, 3)) WHEN 'urgent' THEN 2 WHEN 'high' THEN 1 WHEN 'medium' THEN 0 WHEN 'not specified' THEN -1 WHEN 'low' THEN -2 END AS rating, round(o_totalprice / 1000, 2) AS thousands FROM orders
+SELECT o_orderkey, CASE lower(substr(o_orderpriority, 3)) WHEN 'urgent' THEN 2 WHEN 'high' THEN 1 WHEN 'medium' THEN 0 WHEN 'not specified' THEN -1 WHEN 'low' THEN -2 END AS rating, CAST(floor(o_totalprice / 1000) AS BIGINT) AS thousands FROM orders
 """)
 def rating_normalize(spark: SparkSession, d: str) -> DataFrame:
     ratings = {"urgent": 2, "high": 1, "medium": 0, "not specified": -1, "low": -2}
     mapping = F.create_map(*[F.lit(x) for kv in ratings.items() for x in kv])
-    return load(spark, d, "orders").select("o_orderkey", F.try_element_at(mapping, F.lower(F.substring("o_orderpriority", 3, 99))).alias("rating"), F.round(F.col("o_totalprice") / 1000, 2).alias("thousands"))
+    return load(spark, d, "orders").select("o_orderkey", F.try_element_at(mapping, F.lower(F.substring("o_orderpriority", 3, 99))).alias("rating"), F.floor(F.col("o_totalprice") / 1000).alias("thousands"))
 
 
 @query(r"SELECT page_id, try_cast(regexp_extract(url, '/(\d+)', 1) AS BIGINT) AS number, nullif(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS page, nullif(regexp_extract(url, '/(en|fr|de|es)/', 1), '') AS lang FROM pages")
