@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import likeness
 from .common import checkpointed, table, text_udf
+from .stars import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Variants that one task holds at a time.
@@ -160,28 +162,11 @@ def links(fps: DataFrame, prefix: int | None = None) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (least node of its component) for the nodes that have a link (a, b). Links fold into stars around
-    least nodes; it ends when a round changes nothing."""
-    edges, before = checkpointed(links.where("a <> b").select("a", "b").distinct()), None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
-        edges = checkpointed(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError("components did not settle")
-
-
-def groups(marked: DataFrame) -> DataFrame:
-    """fp, root, component_id of each distinct fingerprint of marked (doc_id, fp)."""
+def groups(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint of marked (doc_id, fp). more: further links (a, b)."""
     least = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    roots = components(links(least.select("fp")))
+    found = links(least.select("fp"))
+    roots = components(found if more is None else found.union(more))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     return named.join(ids, "root").select("fp", "root", "component_id")
@@ -193,12 +178,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(groups(marked), "fp").select("doc_id", "fp", "component_id")
 
 
+def exact_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) of the fingerprints of documents that are alike by their shingles; marked as likeness.alike has it,
+    with fp. Fingerprints of one set are linked to its least one, sets that are alike by their least ones."""
+    of = checkpointed(marked.select("set", "fp").distinct())
+    least = of.groupBy("set").agg(F.min("fp").alias("low"))
+    same = of.join(least, "set").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    low = lambda k, name: least.select(F.col("set").alias(k), F.col("low").alias(name))
+    like = likeness.alike(docs, marked).join(low("a", "x"), "a").join(low("b", "y"), "b").where("x <> y")
+    return same.union(like.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) without near duplicates: of each component the document of
     least doc_id, one row of it if rows repeat; of a component without any doc_id one row."""
     rows = docs.select(F.struct("*").alias("doc"))
-    marked = checkpointed(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    by_fp = checkpointed(groups(marked))
+    told = docs.select("doc_id", F.xxhash64("text").alias("t"), fingerprint(F.col("text")).alias("fp"), likeness.described(F.col("text")).alias("of"))
+    marked = checkpointed(told.select("doc_id", "t", "fp", "of.*"))
+    by_fp = checkpointed(groups(marked, exact_links(docs, marked)))
     gone = marked.join(by_fp, "fp").where("doc_id <> component_id").select("doc_id").distinct()
     known = rows.where("doc.doc_id is not null").withColumn("id", F.col("doc.doc_id")).join(gone, F.col("id") == gone["doc_id"], "left_anti")
     one = known.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))))

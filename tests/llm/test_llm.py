@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from corpusmill.llm import bpe, common, langid, merkle, mixing, quality, queries, rules, simhash, tokencount, toxicity, webtext
+from corpusmill.llm import bpe, common, langid, likeness, merkle, mixing, quality, queries, rules, simhash, tokencount, toxicity, webtext
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -398,6 +398,41 @@ def test_one_of_each(spark):
     assert sorted((str(r["doc_id"]), r["text"][:5]) for r in kept) == [("1", "w0 w1"), ("2", "other"), ("None", "alone")]
 
 
+def brute_shingles(text):
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)}
+
+
+@pytest.mark.parametrize("run", [2000, 3])
+def test_one_of_each_finds_all_near_copies(spark, monkeypatch, run):
+    monkeypatch.setattr(likeness, "RUN", run)
+    monkeypatch.setattr(likeness, "LAST", 20)
+    rng = random.Random(8)
+    common_part = [f"c{i}" for i in range(60)]
+    texts = list(ODD) + [" ".join(common_part + [f"v{i}x{j}" for j in range(12 + i % 3)]) for i in range(12)]
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((4, 5, 9, 60, 300)))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 40)):
+                other[rng.randrange(len(words))] = f"y{rng.randrange(5000)}"
+            texts.append(" ".join(other).upper())
+    sets, fps = [brute_shingles(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    root, missed = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            like = bool(sets[i] and sets[j]) and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))
+            near = (fps[i] ^ fps[j]).bit_count() <= 4
+            missed += like and not near
+            if (like or near) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert missed > 10
+    kept = simhash.one_of_each(spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
 # --- 10: language
 
 
