@@ -3,8 +3,8 @@
 The standard library's parser is fed a page piece by piece. Its events fill lines: a block element ends one, and each
 line counts the code points of its text and its tags. The ratios of text to tags, smoothed by a Gaussian over
 neighbouring lines, fall into two clusters at a threshold, their standard deviation; the upper one is content. What
-holds the content is the region: the article or main elements around it, or, if there is none, the deepest element
-with most of its text. All lines of the region belong to the main text, short ones too, but those inside menus,
+holds the content is the region: the article around most of its text, else the main element, else the deepest block
+with most of it. All lines of the region belong to the main text, short ones too, but those inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one line feed. A
@@ -157,9 +157,8 @@ def main_text(html: str | None) -> str:
     np.add.at(held, np.array(page.homes)[content], lengths[content])
     for e in range(len(page.tags) - 1, 0, -1):
         held[page.parents[e]] += held[e]
-    regions = {e for e, tag in enumerate(page.tags) if tag == "article" and held[e] and not page.drops[e]} or {
-        e for e, tag in enumerate(page.tags) if tag == "main" and held[e] and not page.drops[e]
-    }
+    most = {e for e in range(1, len(page.tags)) if 2 * held[e] > held[0] and not page.drops[e]}
+    regions = {e for e in most if page.tags[e] == "article"} or {e for e in most if page.tags[e] == "main"}
     if not regions:
         deep = max((e for e in range(len(page.tags)) if 2 * held[e] > held[0] and page.tags[e] in (BLOCK | {""}) - ALONE - {"ul", "ol", "table"}), default=0)
         regions = {deep}

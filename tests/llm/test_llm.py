@@ -315,6 +315,14 @@ def test_main_text():
     assert webtext.main_text("<p>whole text</p><di") == "whole text"
 
 
+def test_region_holds_most_of_the_content():
+    text = "".join(f"<p>Paragraph {i} of the text proper, which goes on for quite a while here.</p>" for i in range(6))
+    want = "\n".join(re.findall("<p>(.*?)</p>", text))
+    card = "<article><p>A card about something else, long enough to pass.</p></article>"
+    for page in (f"<body><div>{text}</div>{card}</body>", f"<body><article>{text}</article>{card}</body>", f"<body><main>{text}</main>{card}</body>"):
+        assert webtext.main_text(page) == want
+
+
 def test_pages_give_their_article(spark):
     import html as H
 
