@@ -196,12 +196,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     told = docs.select("doc_id", F.xxhash64("text").alias("t"), fingerprint(F.col("text")).alias("fp"), likeness.described(F.col("text")).alias("of"))
     marked = checkpointed(told.select("doc_id", "t", "fp", "of.*"))
     by_fp = checkpointed(groups(marked, exact_links(docs, marked)))
-    gone = marked.join(by_fp, "fp").where("doc_id <> component_id").select("doc_id").distinct()
-    known = rows.where("doc.doc_id is not null").withColumn("id", F.col("doc.doc_id")).join(gone, F.col("id") == gone["doc_id"], "left_anti")
-    one = known.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("doc.text"))))
-    lone = rows.where("doc.doc_id is null").withColumn("fp", fingerprint(F.col("doc.text"))).join(by_fp.where("component_id is null"), "fp")
-    lone = lone.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("doc.text"))))
-    return one.where("n = 1").select("doc.*").unionByName(lone.where("n = 1").select("doc.*"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("k")
+    kept = marked.join(by_fp, "fp").groupBy("root").agg(first).select("k.*")
+    keys = ["lone", "id", "t"]
+    named = rows.select("doc", F.col("doc.doc_id").isNull().alias("lone"), F.coalesce("doc.doc_id", F.lit(0)).alias("id"), F.xxhash64("doc.text").alias("t"))
+    one = named.join(kept, keys, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))
+    return one.where("n = 1").select("doc.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,6 +406,13 @@ def test_one_of_each(spark):
     assert sorted((str(r["doc_id"]), r["text"][:5]) for r in kept) == [("1", "w0 w1"), ("2", "other"), ("None", "alone")]
 
 
+def test_one_of_each_goes_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    for ids in (((1, a), (5, a), (5, b)), ((5, a), (5, b)), ((5, a), (5, b), (5, b))):
+        kept = simhash.one_of_each(spark.createDataFrame([(i, t, None, "s", 1) for i, t in ids], SCHEMA)).collect()
+        assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(min(i for i, t in ids if t == a), "a"), (5, "b")]
+
+
 def brute_shingles(text):
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)}
