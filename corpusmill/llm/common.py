@@ -66,7 +66,7 @@ def uniform(*key: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
     """Rows (doc_id, text, label) to learn from: the labelled rows that allowed accepts, at most about bound of them
-    (every row if there are fewer), picked by a digest of doc_id. Documents that occur more than once count as often.
+    (every row if there are fewer), picked by a digest of doc_id. A doc_id that occurs more than once counts once, with the least of its texts.
     The bound keeps the fit, which happens on the driver, the same size for any input, and
     the picked ids small enough to broadcast."""
     given = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
@@ -74,7 +74,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     n = given.count()
     if n > bound:
         given = given.where(uniform(F.col("doc_id"), F.lit(label)) < bound / n)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(given), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(given), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def small_or_not(df: DataFrame, rows: int = 50_000) -> DataFrame:

@@ -95,6 +95,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(y for _, p, y in rows if p) >= 0.5 * sum(y for _, _, y in rows)
 
 
+def test_labelled_sample_takes_a_doc_id_once(spark):
+    rows = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    got = common.labelled_sample(rows, labels, "quality", F.lit(True), 100)
+    assert sorted(map(tuple, got.select("doc_id", "text", "label").collect())) == [(1, "a", 1), (2, "c", 0), (3, "", 0)]
+
+
 def test_rules_compile_to_what_they_say(spark):
     rows = spark.createDataFrame([(t,) for t in ODD], "text string")
     model = ([quality.Rule((("n_words", True, 0.5), ("symbols", False, 0.1)), 1.5)], -0.25)
