@@ -1,15 +1,20 @@
 """HTML extraction (operator 7): parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser is fed a page piece by piece. Its events fill lines: a block element ends one, and each
-line counts the code points of its text and its tags. The ratios of text to tags, smoothed by a Gaussian over
-neighbouring lines, fall into two clusters at a threshold, their standard deviation; the upper one is content. What
-holds the content is the region: the article around most of its text, else the main element, else the deepest block
-with most of it. All lines of the region belong to the main text, short ones too, but those inside menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+line counts the code points of its text and the tags met since the line before. The ratio of text to tags is smoothed by
+a Gaussian over neighbouring lines, and lines fall into two clusters at a threshold, the standard deviation of the
+smoothed ratios; the upper one is content. The region is found by these clusters: from the root, it narrows to the child
+that holds most of the content, as long as what stays outside is little and not running text of the same element.
+
+What elements are called only weighs in. Being in a menu, footer, aside, form or the like, by tag, role or class, divides
+a line's ratio and weight by HINT. Inside the region all lines stay, short ones too, but those of such elements, unless the element
+holds most of the content itself (a form around the whole page, say); one whose name tells little (WEAK) goes only if most of
+its text fell into the lower cluster. Scripts, styles and other elements without readable text give no lines at all.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one line feed. A
 null or empty page, and one without any text outside such parts, has an empty text. A tag that the end of the page
-cuts off is no text. Repeated rows are extracted alike.
+cuts off is no text. Pages of any length are read whole, in time linear in it. Repeated rows are extracted alike; where two
+children hold as much, the first counts. An empty table gives no rows; columns other than html are not read.
 """
 
 from __future__ import annotations
@@ -30,16 +35,20 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul br".split()
 )
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg object canvas dialog menu".split())
-MAIN = frozenset("article main".split())
+SILENT = frozenset("script style noscript template head title button select textarea iframe svg object canvas".split())
+APART = frozenset("nav footer aside form dialog menu".split())
+#: Elements that a region may be; the others hold running text of the element around them.
+PLACES = frozenset("html body main article section div center td tr tbody table form aside fieldset details header footer nav dialog menu".split())
 #: Elements that end an open one of the same kind.
 ALONE = frozenset("p li dt dd tr td th option".split())
 #: Words of class, id or role that name something else than the main text.
 ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login nav navigation navbar menu breadcrumb breadcrumbs sidebar aside complementary footer masthead "
-    "header topbar toolbar related recommended share sharing social comment comments respond disqus reply replies pagination pager skip search contentinfo "
-    "form widget widgets teaser".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter "
+    "subscribe subscription nav navigation navbar menu breadcrumb breadcrumbs sidebar complementary footer masthead comment comments disqus pagination contentinfo".split()
+)
+#: Words that may do so, or not.
+WEAK = frozenset(
+    "alert aside banner form header login overlay pager recommended related replies reply respond search share sharing signup skip social teaser topbar toolbar widget widgets".split()
 )
 #: Those of them that may name a part of the article itself once inside it.
 TITLES = frozenset("header masthead banner".split())
@@ -48,16 +57,20 @@ TAIL = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 GAPS = re.compile(r"\s+")
 #: Lines on either side that the smoothing reaches, and its deviation in lines.
 REACH, SIGMA = 3, 1.0
+#: What a name divides the ratio of the lines inside by.
+HINT = 10.0
 #: Code points fed at a time.
 FEED = 1 << 16
+#: What an element's name says of it.
+NONE, MAYBE, SURE, MUTE = range(4)
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, the innermost element, whether it lies in a dropped part."""
+    """Collects the lines of a page: text, tags, the innermost element; of elements their tag, parent and hint."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.drops, self.inside = [""], [-1], [False], [False]
+        self.tags, self.parents, self.hints, self.inside, self.mute = [""], [-1], [NONE], [False], [False]
         self.stack = [0]
         self.texts: list[str] = []
         self.counts: list[int] = []
@@ -74,6 +87,17 @@ class Lines(HTMLParser):
             self.seen = 0
         self.pieces.clear()
 
+    def hint(self, tag: str, attrs: list[tuple[str, str | None]], within: bool) -> int:
+        """What the name of an element says; within: inside an article or main element."""
+        if tag in SILENT or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            return MUTE
+        if tag in ("html", "body"):
+            return NONE
+        names = set(WORDS.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")))) - (TITLES if within else frozenset())
+        if tag in APART or tag == "header" and not within or names & ASIDE:
+            return SURE
+        return MAYBE if names & WEAK else NONE
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.seen += 1
         if tag in BLOCK:
@@ -91,17 +115,12 @@ class Lines(HTMLParser):
                 if name in BLOCK:
                     break
         top = self.stack[-1]
-        within = self.inside[top]
-        drop = self.drops[top]
-        if not drop:
-            names = set(WORDS.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))))
-            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-            aside = names & ASIDE - (TITLES if within else frozenset())
-            drop = tag in DROPPED or hidden or tag == "header" and not within or bool(aside) and tag not in ("html", "body")
+        hint = self.hint(tag, attrs, self.inside[top])
         self.tags.append(tag)
         self.parents.append(top)
-        self.drops.append(drop)
-        self.inside.append(within or tag in MAIN)
+        self.hints.append(hint)
+        self.mute.append(self.mute[top] or hint == MUTE)
+        self.inside.append(self.inside[top] or tag in ("article", "main"))
         self.stack.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -118,14 +137,15 @@ class Lines(HTMLParser):
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.tags[self.stack[k]]
             if name == tag:
-                self.end_line() if k < len(self.stack) - 1 and tag in BLOCK else None
+                if k < len(self.stack) - 1 and tag in BLOCK:
+                    self.end_line()
                 del self.stack[k:]
                 return
-            if name in MAIN and tag not in ("body", "html", "main", "article"):
+            if name in ("article", "main") and tag not in ("body", "html", "main", "article"):
                 return  # a stray end tag closes nothing around the article
 
     def handle_data(self, data: str) -> None:
-        if not self.drops[self.stack[-1]]:
+        if not self.mute[self.stack[-1]]:
             self.pieces.append(data)
 
 
@@ -139,6 +159,34 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return upper if upper.any() else np.ones(len(ratios), bool)
 
 
+def summed(page: Lines, of_lines: np.ndarray) -> np.ndarray:
+    """The sum of a number of each line over all lines inside each element; children come after their parents."""
+    held = np.zeros(len(page.tags))
+    np.add.at(held, np.array(page.homes), of_lines)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+    return held
+
+
+def region(page: Lines, held: np.ndarray) -> int:
+    """The element that the content, held inside each element, narrows down to."""
+    best: dict[int, int] = {}  # of each element the child place that holds most
+    placed = np.zeros(len(held))  # held by all child places
+    for e in range(1, len(held)):
+        if page.tags[e] in PLACES:
+            p = page.parents[e]
+            placed[p] += held[e]
+            if p not in best or held[e] > held[best[p]]:
+                best[p] = e
+    at = 0
+    while (child := best.get(at)) is not None and 2 * held[child] > held[0]:
+        running = held[at] - placed[at]  # text of its own, in no child place
+        if 3 * held[child] < 2 * held[at] or 8 * running > held[at] or page.tags[at] == "article":
+            break
+        at = child
+    return at
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
@@ -151,21 +199,20 @@ def main_text(html: str | None) -> str:
     page.end_line()
     if not page.texts:
         return ""
+    divisor = np.ones(len(page.tags))
+    for e in range(1, len(page.tags)):
+        divisor[e] = divisor[page.parents[e]] * (HINT if page.hints[e] == SURE else 1.0)
     lengths = np.array([len(t) for t in page.texts])
-    content = content_lines(lengths / np.maximum(1, page.counts))
-    held = np.zeros(len(page.tags), np.int64)  # content text inside each element; children come after their parents
-    np.add.at(held, np.array(page.homes)[content], lengths[content])
-    for e in range(len(page.tags) - 1, 0, -1):
-        held[page.parents[e]] += held[e]
-    most = {e for e in range(1, len(page.tags)) if 2 * held[e] > held[0] and not page.drops[e]}
-    regions = {e for e in most if page.tags[e] == "article"} or {e for e in most if page.tags[e] == "main"}
-    if not regions:
-        deep = max((e for e in range(len(page.tags)) if 2 * held[e] > held[0] and page.tags[e] in (BLOCK | {""}) - ALONE - {"ul", "ol", "table"}), default=0)
-        regions = {deep}
-    within = [e in regions for e in range(len(page.tags))]
+    weights = lengths / divisor[page.homes]
+    content = content_lines(weights / np.maximum(1, page.counts))
+    held, every = summed(page, np.where(content, weights, 0.0)), summed(page, weights)
+    gone, within = [False] * len(page.tags), [False] * len(page.tags)
+    within[region(page, held)] = True
     for e in range(1, len(page.tags)):
+        apart = page.hints[e] == SURE or page.hints[e] == MAYBE and 2 * held[e] < every[e]
+        gone[e] = gone[page.parents[e]] or apart and 2 * held[e] <= held[0]
         within[e] = within[e] or within[page.parents[e]]
-    return "\n".join(t for t, e in zip(page.texts, page.homes) if within[e] and not page.drops[e])
+    return "\n".join(t for t, e in zip(page.texts, page.homes) if within[e] and not gone[e])
 
 
 def extracted(html: Column) -> Column:
