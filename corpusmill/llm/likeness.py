@@ -1,14 +1,19 @@
-"""Exact near duplicates for the pipeline: pairs of documents whose sets of five-word shingles have a Jaccard likeness of
-0.8 or more, by a prefix-filter join.
+"""Exact near duplicates for the pipeline: groups of documents linked by a Jaccard likeness of 0.8 or more of their sets of
+five-word shingles, by a prefix-filter join.
 
 A set of n shingles overlaps any set as like as that in at least ceil(0.8 n) shingles, so two such sets share one of the
 first n - ceil(0.8 n) + 1 in whatever order all sets are in. The order is by hash, but shingles that a part of the sets
 shows to be in many come last. It decides how much work there is, not what is found. Sets are grouped by a digest
-first, so that copies take part once. First shingles are shuffled by ranges of their hash; one that more than RUN sets
-hold is spread over pairs of blocks of its sets. Lengths, places in the order and parities of hashed buckets, all
-bounds that no pair that belongs breaks, leave few pairs for which the sets themselves are read and compared.
-
-Shingles and sets are told apart by 64-bit hashes. Texts of fewer than five words are one shingle.
+first, so that copies take part once. First shingles are shuffled by ranges of their hash. Up to RUN sets that share one
+are paired with each other; of more, each is paired with three of them first, and once these pairs are verified and the
+groups known, the groups' representatives are paired in rounds, and at last only sets of different groups are, spread
+over pairs of blocks. So a large group of near copies costs time by its size, not by the square of it, and no link
+between groups is lost. Lengths, places in the order and parities of hashed buckets, all bounds that no pair that
+belongs breaks, leave few pairs for which the sets themselves are read and compared. A set has about as many buckets as
+shingles; parities of a longer set fold to those of a shorter one.
+
+Shingles and sets are told apart by 64-bit hashes. Texts of fewer than five words are one shingle; null texts and texts
+without a word have an empty set, like no other. Whole texts are read. Empty tables give no groups.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ from .stars import components
 WIDTH, SEED = 5, 42
 #: One of so many sets is read to learn which shingles come last, and how many of those there may be.
 EVERY, LAST = 32, 100_000
-#: Sets of one shingle that are paired in one task.
-RUN = 2000
+#: Sets of one shingle that are all paired at once, sets of a block beyond that, and rounds among representatives.
+RUN, PART, ROUNDS = 48, 1000, 2
 #: Shingles that one task compares at a time.
 BLOCK = 1 << 22
-#: Longs of bucket parities.
-PARITIES = 16
+#: Buckets of parities at least; a power of two.
+PARITIES = 1024
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,10 +61,18 @@ def set_id(hashes: np.ndarray) -> int:
 
 def parities(hashes: np.ndarray) -> np.ndarray:
     """Whether each bucket of hashes holds an odd number of them: sets differ in as many shingles as bits at least."""
-    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) % 2
+    size = max(PARITIES, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """In how many buckets two sets' parities differ; the longer array, at most twice as long, is folded."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) == n, x).otherwise(F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q)))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def least_overlap(n: int) -> int:
     """ceil(0.8 n)."""
     return -(-4 * n // 5)
@@ -101,85 +114,125 @@ def first_shingles(text: Column, last: np.ndarray) -> Column:
     return shingle_prefixes(text)
 
 
-def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, block: np.ndarray | None = None, run: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of sets that share a shingle and may be alike, and the shingles that more than run sets
-    hold, which are left out. block: only pairs of two blocks count. Rows are distinct."""
-    order = np.lexsort((sets, h))
-    h, sets, n, at = (x[order] for x in (h, sets, n.astype(np.int64), at.astype(np.int64)))
-    block = None if block is None else block[order]
+def possible(n: np.ndarray, at: np.ndarray, i: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Whether sets i and o, which share the shingles at their places `at`, may be alike: what lies before and behind
+    these places bounds what they have in common."""
+    most = np.minimum(at[i], at[o]) + np.minimum(n[i] - at[i], n[o] - at[o])
+    return 9 * np.minimum(most, np.minimum(n[i], n[o])) >= 4 * (n[i] + n[o])
+
+
+def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, run: int | None = None, apart: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of sets that share a shingle and may be alike, and which rows (after sorting by h, set) are of
+    shingles that more than run sets hold: of those, each set is paired with the two least and with the one before it.
+    apart: only pairs that differ in all of these count. Rows are distinct and sorted."""
+    n, at = n.astype(np.int64), at.astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.array([], np.int64)
     size = np.diff(np.append(new, len(h)))
-    found, many = [], []
+    hot = np.zeros(len(h), bool)
+    found = [np.zeros((0, 2), np.int64)]
+
+    def enter(i: np.ndarray, o: np.ndarray) -> None:
+        good = possible(n, at, i, o) & (sets[i] != sets[o])
+        for kind in apart or ():
+            good &= kind[i] != kind[o]
+        if good.any():
+            found.append(np.stack((sets[i][good], sets[o][good]), axis=1))
+
     for start, k in zip(new[size > 1].tolist(), size[size > 1].tolist()):
         if run and k > run:
-            many.append(h[start])
-            continue
-        for i in range(start, start + k - 1):
-            o = slice(i + 1, start + k)
-            most = np.minimum(at[i], at[o]) + np.minimum(n[i] - at[i], n[o] - at[o])
-            good = 9 * np.minimum(most, np.minimum(n[i], n[o])) >= 4 * (n[i] + n[o])
-            if block is not None:
-                good &= block[o] != block[i]
-            if good.any():
-                found.append(np.stack((np.full(int(good.sum()), sets[i]), sets[o][good]), axis=1))
+            hot[start : start + k] = True
+            x = np.arange(start + 1, start + k)
+            for first in (np.full(k - 1, start), np.full(k - 1, start + 1), x - 1):
+                enter(np.minimum(first, x), np.maximum(first, x))
+        else:
+            for i in range(start, start + k - 1):
+                o = np.arange(i + 1, start + k)
+                enter(np.full(len(o), i), o)
         if len(found) > 1 << 16:
             found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1], np.array(many, np.int64)
+    return np.unique(np.concatenate(found), axis=0), hot
+
+
+def rows_of(batch: pa.Table, names: tuple[str, ...] = ("h", "set", "n", "at")) -> list[np.ndarray]:
+    """The columns of a batch, sorted by h and set, rows that repeat these (copies) once."""
+    columns = [batch[k].to_numpy() for k in names]
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [x[order] for x in columns]
+    one = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))) if len(order) else order.astype(bool)
+    return [x[one] for x in columns]
 
 
-def candidates(firsts: DataFrame, rows: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of sets that may be alike; firsts (h, set, n, at), checkpointed or cheap; rows:
-    about how many sets there are, for the number of ranges."""
-    ranges = 1 << min(20, max(6, (rows // 500).bit_length()))
+def candidates(firsts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of sets that may be alike, and the rows of firsts (h, set, n, at) of the shingles that
+    more than RUN sets hold, of which not all pairs are given; rows: about how many sets there are."""
+    ranges, run = 1 << min(20, max(6, (rows // 500).bit_length())), RUN
     cut = firsts.withColumn("range", F.shiftrightunsigned("h", 64 - ranges.bit_length() + 1).cast("int"))
-    kind, run = "a long, b long, many long", RUN
 
-    def table_of(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> pa.Table:
-        none = lambda k: np.zeros(k, bool)
+    def within(batch: pa.Table) -> pa.Table:
+        h, sets, n, at = rows_of(batch)
+        pairs, hot = paired(h, sets, n, at, run)
+        k, none = int(hot.sum()), lambda m: np.zeros(m, np.int64)
+        both = lambda x, y: pa.array(np.concatenate((x, y)))
         return pa.table({
-            "a": pa.array(np.concatenate((a, many * 0)), mask=np.concatenate((none(len(a)), ~none(len(many))))),
-            "b": pa.array(np.concatenate((b, many * 0)), mask=np.concatenate((none(len(a)), ~none(len(many))))),
-            "many": pa.array(np.concatenate((a * 0, many)), mask=np.concatenate((~none(len(a)), none(len(many))))),
+            "a": both(pairs[:, 0], none(k)), "b": both(pairs[:, 1], none(k)), "h": both(none(len(pairs)), h[hot]), "set": both(none(len(pairs)), sets[hot]),
+            "n": both(none(len(pairs)), n[hot].astype(np.int64)), "at": both(none(len(pairs)), at[hot].astype(np.int64)), "hot": both(none(len(pairs)), none(k) + 1),
         })
 
-    def columns(batch: pa.Table) -> list[np.ndarray]:
-        hs = [batch[k].to_numpy() for k in ("h", "set", "n", "at")]
-        _, one = np.unique(np.stack(hs[:2], axis=1), axis=0, return_index=True)  # copies
-        return [x[one] for x in hs]
+    found = checkpointed(cut.groupBy("range").applyInArrow(within, "a long, b long, h long, set long, n long, at long, hot long"))
+    return found.where("hot = 0").select("a", "b").distinct(), found.where("hot = 1").select("h", "set", "n", "at")
 
-    def within(batch: pa.Table) -> pa.Table:
-        return table_of(*paired(*columns(batch), run=run))
 
-    def blocks(batch: pa.Table) -> pa.Table:
-        cols = columns(batch)
-        i, j, c = (batch[k][0].as_py() for k in ("i", "j", "c"))
-        return table_of(*paired(*cols, cols[1] % c if i != j else None))
-
-    found = checkpointed(cut.groupBy("range").applyInArrow(within, kind))
-    pairs, many = found.where("many is null").select("a", "b"), found.where("many is not null").select("many")
-    if not many.isEmpty():  # these are few: each is among the first shingles of more than RUN sets
-        hot = firsts.join(F.broadcast(many), F.col("h") == F.col("many")).drop("many").dropDuplicates(["h", "set"])
-        hot = checkpointed(hot)
-        c = hot.groupBy("h").agg(F.ceil(F.count("*") / (run / 2)).cast("int").alias("c"))
-        spread = hot.join(F.broadcast(c), "h").withColumn("k", F.pmod("set", "c")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        spread = spread.select("h", "set", "n", "at", "c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
-        pairs = pairs.union(spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, kind).select("a", "b"))
-    return pairs.distinct()
-
-
-def alike(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different sets with a likeness of 0.8 or more. docs (text), marked: described(text) of its rows
-    as columns, with t, xxhash64 of the text."""
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (set, root), the groups of sets that a link (a, b) joins under one root."""
+    of = lambda k: groups.select(F.col("set").alias(k), F.col("root").alias(f"root_{k}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b"))
+    roots = components(edges).withColumnRenamed("root", "least")
+    return checkpointed(groups.join(roots, F.col("root") == F.col("node"), "left").select("set", F.coalesce("least", "root").alias("root")))
+
+
+def grouped(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
+    """set, root: groups (set, root) as given, joined where sets of a likeness of 0.8 or more link them. docs (text),
+    marked: described(text) of its rows as columns, with t, xxhash64 of the text."""
     count = marked.where("some is not null").select(F.explode("some").alias("h"), "set").distinct().groupBy("h").count().where("count >= 4")
     last = np.array([r["h"] for r in reversed(count.orderBy(F.desc("count"), "h").limit(LAST).collect())], np.int64).view(np.uint64)
     firsts = docs.select(first_shingles(F.col("text"), last).alias("f")).select("f.set", "f.n", F.posexplode("f.first").alias("at", "h"))
     sets = checkpointed(marked.groupBy("set").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("t").alias("t")))
-    pairs = candidates(firsts, sets.count())
-    side = lambda k: sets.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"), F.col("t").alias(f"t_{k}"))
-    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b", "t_a", "t_b"))
+    pairs, hot = candidates(firsts, sets.count())
+    groups = joined_groups(groups, verified(docs, sets, groups, pairs))
+    if hot.isEmpty():
+        return groups
+    for _ in range(ROUNDS):  # representatives of the groups that share a shingle, each with the least one
+        named = hot.join(groups, "set").groupBy("h", "root").agg(F.min(F.struct("set", "n")).alias("x"))
+        least = named.groupBy("h").agg(F.min("x").alias("y"), F.count("*").alias("k")).where("k > 1")
+        pairs = named.join(least, "h").select(F.col("x.set").alias("b"), F.col("y.set").alias("a"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+        pairs = pairs.where((F.col("a") != F.col("b")) & (9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))))
+        groups = joined_groups(groups, verified(docs, sets, groups, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    return joined_groups(groups, verified(docs, sets, groups, across(hot, groups)))
+
+
+def across(hot: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different groups that share a shingle of hot and may be alike. The sets of one
+    shingle are cut into blocks, and each pair of blocks is one task's."""
+    rows = hot.join(groups, "set")
+    many = rows.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("roots"), F.ceil(F.sum("k") / PART).cast("int").alias("c")).where("roots > 1")
+    spread = rows.join(many.select("h", "c"), "h").withColumn("k", F.pmod("set", "c").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    spread = spread.select("h", "set", "n", "at", "root", "k", "c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+
+    def blocks(batch: pa.Table) -> pa.Table:
+        h, sets, n, at, root, k = rows_of(batch, ("h", "set", "n", "at", "root", "k"))
+        apart = [root] if batch["i"][0].as_py() == batch["j"][0].as_py() else [root, k]
+        pairs, _ = paired(h, sets, n, at, apart=apart)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, "a long, b long").distinct()
+
 
+def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike, of those that join different groups."""
+    about = sets.join(groups, "set")
+    side = lambda k: about.select(F.col("set").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("n", "odd", "t", "root")])
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").where(9 * differing(F.col("odd_a"), F.col("odd_b")) <= F.col("n_a") + F.col("n_b"))
+    left = checkpointed(left.select("a", "b", "n_a", "n_b", "t_a", "t_b"))
     needed = small_or_not(left.select(F.col("t_a").alias("t")).union(left.select("t_b")).distinct())
 
     @text_udf("array<long>")

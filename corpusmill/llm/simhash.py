@@ -2,18 +2,21 @@
 
 Two fingerprints differ in at most 2r bits exactly if some value differs from each of them in at most r. So every
 distinct fingerprint stands for its ball: the 1 + 64 + 2016 variants within r = 2 bits. Fingerprints that share a
-variant are linked, and linking each to the least one of its variant keeps every component with one link for each
-fingerprint instead of one for each pair, so that dense groups stay cheap.
+variant collide; each is paired with the least one of its variant, the pairs are verified by counting the bits in which
+they differ, and a spanning forest of them is kept: a link for each fingerprint instead of one for each pair, so that
+dense groups stay cheap and every link given is one within the radius.
 
 Variants are shuffled by their first bits. A fingerprint travels once to each range of variants that its ball
 reaches, 79 for 12 bits, and the variants inside a range are made there, in numpy, never more than LIMIT at a time:
-a range that holds too many is halved at its next bit until it fits. Nothing is capped; a crowded range takes longer,
-in proportion to its fingerprints.
+a range that holds too many is halved at its next bit until it fits. A range of more than HOT fingerprints is dealt
+to as many tasks as its next bits name, and beyond that takes longer in proportion to its fingerprints. Nothing is
+capped.
 
 Components come from alternating stars (large, then small), each a grouped minimum and a join, with a checkpoint for
 every round. Null texts count as empty; texts without words have fingerprint 0 and are linked like any other. Copies
 share one fingerprint, so they are linked before the search begins. Rows that repeat a doc_id keep a row each. Rows
-with a null doc_id take part and lend no id: a component of such rows alone has a null component_id.
+with a null doc_id take part and lend no id: a component of such rows alone has a null component_id. Long texts are
+hashed whole, block by block. Extra columns of docs travel inside a struct or are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 LIMIT = 1 << 21
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
+#: Fingerprints beyond which a range is dealt to more tasks, and the bits that name them.
+HOT, MORE = 50_000, 8
 
 
 def simhash(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -80,7 +85,7 @@ def _ball(flips: int, bits: int) -> int:
 
 
 def collisions(fps: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (indices of a fingerprint, index of the least one that shares a variant with it). left: how many of the
+    """Pairs (index of a fingerprint, index of the least one that shares a variant with it). left: how many of the
     lowest `bits` bits each may still flip; the bits above are settled."""
     todo = [(np.arange(len(fps)), left, bits)]
     while todo:
@@ -115,58 +120,68 @@ def collisions(fps: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[n
             yield pairs // len(fps), pairs % len(fps)
 
 
-def _contracted(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least index of each index's component."""
-    root = np.arange(n)
-    if links:
-        a, b = (np.concatenate(x) for x in zip(*links))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-    return root
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of indices below n, enough to connect whatever all of them connect: one for each index that
+    is not the least of its component."""
+    root, kept = np.arange(n), [(a[:0], b[:0])]
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high != low
+        if not apart.any():
+            return tuple(np.concatenate(x) for x in zip(*kept))
+        a, b, high, low = (x[apart] for x in (a, b, high, low))
+        high, first = np.unique(high, return_index=True)  # each root joins one lesser root: no cycles
+        kept.append((a[first], b[first]))
+        root[high] = low[first]
+        while not (root[root] == root).all():
+            root = root[root]
 
 
 def links(fps: DataFrame, prefix: int | None = None) -> DataFrame:
-    """Distinct links (a, b), b < a, of the distinct fingerprints fp (long) that lie within RADIUS bits: enough of them
-    to connect whatever any pair within RADIUS would. prefix: bits that name a range of variants; it grows with the
-    number of fingerprints, so that a range's share stays bounded."""
+    """Distinct links (a, b, bits), b < a, of the distinct fingerprints fp (long) that differ in `bits`, at most RADIUS,
+    bits: enough of them to connect whatever any pair within RADIUS would. prefix: bits that name a range of variants; it
+    grows with the number of fingerprints, up to 24, so that a range's share stays bounded."""
     if prefix is None:
         prefix = min(24, max(8, (fps.count() // 64).bit_length()))
-    flips = RADIUS // 2
-    rest = 64 - prefix
-    reach = F.explode(F.array(*[F.lit(int(m)) for m in _masks(prefix, flips)]))
-    sent = fps.select("fp", reach.alias("mask")).select("fp", F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("mask")).alias("range"))
+    flips, rest = RADIUS // 2, 64 - prefix
+    masks = lambda bits: F.explode(F.array(*[F.lit(int(m)) for m in _masks(bits, flips)]))
+    sent = fps.select("fp", masks(prefix).alias("mask"))
+    sent = sent.select("fp", F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("mask")).alias("range"), (flips - F.bit_count("mask")).alias("left"))
+    hot = [r["range"] for r in sent.groupBy("range").count().where(F.col("count") > HOT).select("range").collect()]  # few: each holds many
+    more = sent.where(F.col("range").isin(hot)).select("*", masks(MORE).alias("mask")).where(F.bit_count("mask") <= F.col("left"))
+    next_bits = F.shiftrightunsigned("fp", rest - MORE).bitwiseAND(F.lit((1 << MORE) - 1)).bitwiseXOR(F.col("mask"))
+    dealt = sent.where(~F.col("range").isin(hot)).select("fp", "range", F.lit(-1).cast("long").alias("part")) if hot else sent.select("fp", "range", F.lit(-1).cast("long").alias("part"))
+    if hot:
+        dealt = dealt.union(more.select("fp", "range", next_bits.cast("long").alias("part")))
 
     def within(batch: pa.Table) -> pa.Table:
         fp = np.sort(batch["fp"].to_numpy().view(np.uint64))
+        a = b = np.zeros(0, np.int64)
         if len(fp) > 1:
-            spent = np.bitwise_count((fp >> np.uint64(rest)) ^ np.uint64(batch["range"][0].as_py()))
-            found = []
-            for pair in collisions(fp, flips - spent.astype(np.int64), rest):
+            named, part, free = np.uint64(batch["range"][0].as_py()), batch["part"][0].as_py(), rest
+            if part >= 0:
+                named, free = named << np.uint64(MORE) | np.uint64(part), rest - MORE
+            spent = np.bitwise_count((fp >> np.uint64(free)) ^ named)
+            found, waiting = [(a, b)], 0
+            for pair in collisions(fp, flips - spent.astype(np.int64), free):
                 found.append(pair)
-                if len(found) == 16:  # contracted at times, so that what a crowded range finds stays small
-                    root = _contracted(len(fp), found)
-                    found = [(np.flatnonzero(root != np.arange(len(fp))), root[root != np.arange(len(fp))])]
-            root = _contracted(len(fp), found)
-            a = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.table({"a": fp[a].view(np.int64), "b": fp[root[a]].view(np.int64)})
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+                waiting += len(pair[0])
+                if waiting > LIMIT:  # thinned at times, so that what a crowded range finds stays small
+                    found, waiting = [forest(len(fp), *(np.concatenate(x) for x in zip(*found)))], 0
+            a, b = forest(len(fp), *(np.concatenate(x) for x in zip(*found)))
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS
+            a, b = a[near], b[near]
+        return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
-    found = sent.groupBy("range").applyInArrow(within, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = dealt.groupBy("range", "part").applyInArrow(within, "a long, b long")
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return found.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
 
 
-def groups(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """fp, root, component_id of each distinct fingerprint of marked (doc_id, fp). more: further links (a, b)."""
+def groups(marked: DataFrame) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint of marked (doc_id, fp)."""
     least = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    found = links(least.select("fp"))
-    roots = components(found if more is None else found.union(more))
+    roots = components(links(least.select("fp")).select("a", "b"))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     return named.join(ids, "root").select("fp", "root", "component_id")
@@ -178,26 +193,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(groups(marked), "fp").select("doc_id", "fp", "component_id")
 
 
-def exact_links(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) of the fingerprints of documents that are alike by their shingles; marked as likeness.alike has it,
-    with fp. Fingerprints of one set are linked to its least one, sets that are alike by their least ones."""
-    of = checkpointed(marked.select("set", "fp").distinct())
-    least = of.groupBy("set").agg(F.min("fp").alias("low"))
-    same = of.join(least, "set").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    low = lambda k, name: least.select(F.col("set").alias(k), F.col("low").alias(name))
-    like = likeness.alike(docs, marked).join(low("a", "x"), "a").join(low("b", "y"), "b").where("x <> y")
-    return same.union(like.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) without near duplicates: of each component the document of
-    least doc_id, one row of it if rows repeat; of a component without any doc_id one row."""
+    least doc_id, one row of it if rows repeat; of a component without any doc_id one row. Documents are linked by their
+    fingerprints and by a likeness of 0.8 or more of their sets of five words."""
     rows = docs.select(F.struct("*").alias("doc"))
     told = docs.select("doc_id", F.xxhash64("text").alias("t"), fingerprint(F.col("text")).alias("fp"), likeness.described(F.col("text")).alias("of"))
     marked = checkpointed(told.select("doc_id", "t", "fp", "of.*"))
-    by_fp = checkpointed(groups(marked, exact_links(docs, marked)))
+    by_fp = groups(marked).select("fp", "root")
+    of = checkpointed(marked.select("set", "fp").distinct().join(by_fp, "fp").select("set", "root").distinct())
+    start = checkpointed(of.groupBy("set").agg(F.min("root").alias("root")))
+    # fingerprints of one set are linked, whatever the ball hashing says of them
+    same = of.join(start.withColumnRenamed("root", "low"), "set").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    joined = components(same).withColumnRenamed("root", "least")
+    start = checkpointed(start.join(joined, F.col("root") == F.col("node"), "left").select("set", F.coalesce("least", "root").alias("root")))
+    found = likeness.grouped(docs, marked, start)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("k")
-    kept = marked.join(by_fp, "fp").groupBy("root").agg(first).select("k.*")
+    kept = marked.groupBy("set").agg(first).join(found, "set").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
     keys = ["lone", "id", "t"]
     named = rows.select("doc", F.col("doc.doc_id").isNull().alias("lone"), F.coalesce("doc.doc_id", F.lit(0)).alias("id"), F.xxhash64("doc.text").alias("t"))
     one = named.join(kept, keys, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("t")))

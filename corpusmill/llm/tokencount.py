@@ -6,14 +6,17 @@ Two deterministic transducers run one after the other, and neither builds token
    character back, where the pattern looks ahead. A chunk of text maps each state it may be entered in to the state it
    is left in; these maps compose, so numpy runs all chunks of a batch side by side for all entry states, composes the
    maps by a parallel prefix scan, and then knows each chunk's own entry state.
-2. The merger reads the bytes of one match and annotates each transition with how many tokens the prefix gained. A
+2. The counter reads the bytes of one match and annotates each transition with how many tokens the prefix gained. A
    prefix ends in exactly one token that fits the token before it, namely one that the merges leave beside it, so a
    state is what the next byte can depend on: for each start of a token that may still go on, its place in the
    vocabulary's trie, the token before it, and the count there. Transitions are compiled when first met and kept up to
-   a bound; a match's total is a sum of annotations.
+   a bound; a match's total is a sum of annotations. At a match's begin the counter is in its start state, whatever came
+   before, so that the state map of a chunk of whole matches is one number, its count; these maps compose by addition,
+   and the prefix scan over them is a running sum, from which each text reads its total at its two ends.
 
 The added special token of the tokenizer file, where its string occurs in a text, is one token, as is the library's
-default; nothing is truncated or padded. Nulls count as empty texts of no token. Repeated rows are counted alike.
+default; nothing is truncated or padded. Nulls count as empty texts of no token. Repeated rows are counted alike. Long
+texts are cut only where a match always begins. Empty tables give no rows; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -128,6 +131,9 @@ class Merger(dict):
             file = json.load(f)
         if file["model"]["type"] != "BPE" or file["pre_tokenizer"]["type"] != "ByteLevel" or file.get("normalizer"):
             raise ValueError("a byte-level BPE tokenizer without normalizer is needed")
+        split = file["pre_tokenizer"]
+        if file["model"].get("ignore_merges") or split.get("add_prefix_space") or not split.get("use_regex", True) or any(not t["special"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"]):
+            raise ValueError("merges must hold, texts get no blank in front, the usual pattern splits, and added tokens are plain special ones")
         byte = byte_letters()
         raw = lambda token: bytes(byte[c] for c in token)
         self.special = [t["content"] for t in file["added_tokens"] if t["special"]]

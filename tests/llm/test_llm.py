@@ -2,8 +2,11 @@
 
 import hashlib
 import importlib
+import json
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -102,6 +105,65 @@ def test_labelled_sample_takes_a_doc_id_once(spark):
     assert sorted(map(tuple, got.select("doc_id", "text", "label").collect())) == [(1, "a", 1), (2, "c", 0), (3, "", 0)]
 
 
+def test_quality_query_against_plain_rules(spark, docs):
+    """Every score of the query from the fitted rules, evaluated in plain Python on statistics made in plain Python."""
+    part = common.fold(F.col("doc_id"), 3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rules_, intercept = quality.fit(common.labelled_sample(docs, labels, "quality", part != 1, quality.SAMPLE))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_quality"](spark, SF).collect()}
+    for r in docs.collect():
+        s = brute_statistics(r["text"])
+        total = intercept + sum(rule.weight for rule in rules_ if all((s[n] > c) == above for n, above, c in rule.terms))
+        g = got[r["doc_id"]]
+        assert abs(g["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and g["predicted"] == (g["score"] >= 0.5)
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def brute_statistics(text):
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if x]
+    count = lambda p: sum(1 for c in text if p(c))
+    part = lambda a, b: a / b if b else 0.0
+    kind = unicodedata.category
+    letters = count(lambda c: kind(c)[0] == "L")
+    return {
+        "n_words": np.log1p(len(w)), "word_len": part(sum(map(len, w)), len(w)), "capitals": part(count(lambda c: kind(c) == "Lu"), letters),
+        "symbols": part(count(lambda c: c in "#*$%&<>"), len(w)), "exclaims": part(text.count("!"), len(w)), "digits": part(count(lambda c: kind(c) == "Nd"), len(w)),
+        "stops": part(count(lambda c: c in ".?"), len(w)), "pipes": part(text.count("|"), len(w)), "echoes": part(sum(a == b for a, b in zip(w, w[1:])), len(w)),
+        "variety": part(len(set(w)), len(w)), "dup_lines": part(len(lines) - len(set(lines)), len(lines)), "line_words": part(len(w), len(lines)),
+    }
+
+
+def test_toxicity_query_against_plain_search(spark, docs):
+    """Every score of the query from the learned weights, with entries looked up word by word instead of by automaton."""
+    weights, head = toxicity.learn(spark, SF, docs)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_toxicity"](spark, SF).collect()}
+    for r in docs.collect():
+        words = toxicity.folded(r["text"]).split()
+        spared = set()
+        for phrase in toxicity.EXCEPTIONS:
+            k = phrase.split()
+            spared |= {i + j for i in range(len(words)) if words[i : i + len(k)] == k for j in range(len(k))}
+        best = [max((v for e, v in weights.items() if f" {w} ".startswith(e)), default=0.0) for i, w in enumerate(words) if i not in spared]
+        z = np.dot(toxicity.features([("", v) for v in best if v > 0], len(words)), head)
+        assert abs(got[r["doc_id"]]["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_entry_counts_and_odds_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 5)  # counts are handed on early; sums stay
+    rng = random.Random(9)
+    data = [(" ".join(rng.choice(["alpha", "beta", "badword", "gamma"] if y else ["alpha", "beta", "gamma"]) for _ in range(6)), y, i % 4) for i in range(80) for y in (0, 1)]
+    rows = spark.createDataFrame(data, "text string, label int, part int")
+    got = {r["entry"]: r for r in toxicity.candidates(rows).collect()}
+    for entry in (" badword ", " alp", " gamma"):
+        for k in range(4):
+            for y, name in ((1, "toxic"), (0, "clean")):
+                assert got[entry][f"{name}{k}"] == sum(entry in f" {t} " for t, label, part in data if label == y and part == k)
+    models = toxicity.lexicon(rows, Counter((y, k) for _, y, k in data))
+    assert all(m[" badword "] > 1 and " alpha " not in m for m in models) and len(models) == 5
+
+
 def test_rules_compile_to_what_they_say(spark):
     rows = spark.createDataFrame([(t,) for t in ODD], "text string")
     model = ([quality.Rule((("n_words", True, 0.5), ("symbols", False, 0.1)), 1.5)], -0.25)
@@ -121,10 +183,14 @@ def test_lasso_drops_noise():
 
 def test_folding_and_exceptions():
     assert toxicity.folded("ІDІ0T! m0r0n $tupid 1diot") == " idiot moron stupid idiot "
-    entries = toxicity.automaton({" trash": 2.0, " idiot": 3.0})
-    assert toxicity.matches(toxicity.folded("a trash can"), entries) == []
-    assert toxicity.matches(toxicity.folded("trash, idiots"), entries) == [(" trash", 2.0), (" idiot", 3.0)]
-    assert toxicity.matches(toxicity.folded("unidiot"), entries) == []
+    weights = {" trash": 2.0, " idiot": 3.0}
+    entries = toxicity.automaton(weights)
+    assert toxicity.matches(toxicity.folded("a trash can"), entries, weights) == []
+    assert toxicity.matches(toxicity.folded("trash, idiots"), entries, weights) == [(" trash", 2.0), (" idiot", 3.0)]
+    assert toxicity.matches(toxicity.folded("unidiot"), entries, weights) == []
+    for form in ("тrash", "tràsh", "𝓽𝓻𝓪𝓼𝓱", "tr\u200bash", "t r a s h", "ТRАSН", "ＴＲＡＳＨ", "tra$h", "t.r.a.s.h"):
+        assert toxicity.folded(form) == " trash ", form
+    assert toxicity.folded("I am a b") == " i am a b "
 
 
 def test_logistic_weights_stay_put_on_separable_rows():
@@ -192,6 +258,21 @@ def test_token_counts_of_long_and_special_texts(monkeypatch):
     assert tokencount.counter(tokencount.TOKENIZER).count(texts).tolist() == want
 
 
+def test_token_count_query_equals_library(spark, docs):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_token_counts"](spark, SF).collect()}
+    for r in docs.collect():
+        n = len(hugging().encode(r["text"], add_special_tokens=False).ids)
+        assert tuple(got[r["doc_id"]]) == (r["doc_id"], len(r["text"].encode()), n, n > 512)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    file = json.load(open(tokencount.TOKENIZER))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError):
+        tokencount.Merger(str(tmp_path / "t.json"))
+
+
 def test_merger_forgets_without_harm():
     small = tokencount.Merger(tokencount.TOKENIZER, room=5, states=20)
     full = tokencount.counter(tokencount.TOKENIZER).merger
@@ -226,6 +307,57 @@ def test_next_document_across_many_ranges(spark):
     assert got == {k: f"t{order[(i + 1) % len(order)]}" for i, k in enumerate(order)}
 
 
+def test_next_document_of_null_and_repeated_ids(spark):
+    """Ties are ordered by a digest: every row still has one next row, in one ring over all rows."""
+    rows = [(None, f"n{i}") for i in range(120)] + [(5, f"f{i}") for i in range(120)] + [(i, f"t{i}") for i in range(60)]
+    got = {r["text"]: r["next"]["text"] for r in merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], rows=7).collect()}
+    at, seen = "t0", []
+    for _ in rows:
+        seen.append(at)
+        at = got[at]
+    assert at == "t0" and sorted(seen) == sorted(t for _, t in rows)
+    assert [t for t in seen if t[0] == "t"] == [f"t{i}" for i in range(60)] and seen[-120:] == [t for t in seen if t[0] == "n"]
+
+
+def cut(text):
+    """Paragraphs as the operator has them."""
+    return re.findall(merkle.PARAGRAPH.replace(r"\z", r"\Z"), text)
+
+
+def test_likeness_and_edits_against_brute_force(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_fingerprints"](spark, SF).collect()}
+    for i, k in enumerate(ids):
+        t, n = texts[k], texts[ids[(i + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = cut(t), cut(edited), cut(n)
+        like = lambda x, y: 2 * len(set(x) & set(y)) / (len(set(x)) + len(set(y))) if x or y else 1.0
+        r = got[k]
+        assert r["n_chars"] == len(t) and abs(r["near_edited"] - like(a, b)) < 1e-12 and abs(r["near_next"] - like(a, c)) < 1e-12
+        assert (r["edit"]["section"], r["edit"]["paragraph"], r["edit"]["removed"], r["edit"]["added"]) == brute_edit(a, b)
+
+
+def brute_edit(a, b):
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    if len(a) == len(b) == start:
+        return 0, 0, 0, 0
+    return start // merkle.SECTION + 1, start + 1, len(a) - start - end, len(b) - start - end
+
+
+def test_an_insertion_is_located(spark):
+    old = [f"Sentence number {i} stands here. " for i in range(50)]
+    new = old[:20] + ["Put in. ", "Put in too. "] + old[20:]
+    rows = spark.createDataFrame([("".join(old), "".join(new)), ("".join(new), "".join(old)), ("", "a"), ("", "")], "a string, b string")
+    got = [tuple(r[0]) for r in rows.select(merkle.edit(merkle.tree(F.col("a")), merkle.tree(F.col("b")))).collect()]
+    assert got == [(2, 21, 0, 2), (2, 21, 2, 0), (1, 1, 0, 1), (0, 0, 0, 0)]
+
+
 def test_paragraphs_hold_the_whole_text(spark):
     rows = spark.createDataFrame([(t or "",) for t in ODD], "text string")
     cut = rows.select("text", F.array_join(F.regexp_extract_all("text", F.lit(merkle.PARAGRAPH), F.lit(0)), "").alias("again")).collect()
@@ -264,11 +396,48 @@ def test_quality_rules_equal_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(result.fetchall())
 
 
+def measured_like(spark, rows):
+    """Rows (lang, source, value) as rules.measured would give them, the value in every statistic."""
+    schema = "base_failed boolean, lang string, source string, " + ", ".join(f"{k} long" for k in rules.STATISTICS)
+    return spark.createDataFrame([(False, lang, source, *[v] * len(rules.STATISTICS)) for lang, source, v in rows], schema)
+
+
+def test_limits_come_from_the_groups_own_spread(spark):
+    """A source of even texts is judged more strictly than one of uneven ones; REACH and the groups both matter."""
+    rng = random.Random(4)
+    rows = [("en", "even", 500 + rng.randrange(10)) for _ in range(400)] + [("en", "uneven", 300 + rng.randrange(400)) for _ in range(400)]
+    rows += [("en", "small", 500)] * 5 + [("de", "flat", 0)] * 300
+    sketch = rules.sketches(measured_like(spark, rows))
+    got = {r["source"]: r for r in rules.thresholds(sketch).collect()}
+    assert got["even"]["marks_high"] < 900 < got["uneven"]["marks_high"]
+    assert got["even"]["word_len_low"] > 200 and got["uneven"]["word_len_low"] < 0 and got["even"]["marks_low"] == -1
+    pooled = rules.thresholds(sketch.withColumn("source", F.lit("one"))).where("lang = 'en'").first()
+    assert got["small"]["marks_high"] == pooled["marks_high"]  # too few documents: its language's
+    assert got["flat"]["marks_high"] == rules.limits_of(rules.quantiles(sketch, []), rules.REACH).where("name = 'marks'").first()["high"]
+    near = {r["source"]: r for r in rules.thresholds(sketch, reach=1.0).collect()}
+    assert near["uneven"]["marks_high"] < 900
+
+
+def test_statistics_without_any_spread_bind_nothing(spark):
+    sketch = rules.sketches(measured_like(spark, [("en", "a", 0)] * 200))
+    assert rules.thresholds(sketch).first()["marks_high"] is None
+
+
+def test_one_text_two_verdicts(spark):
+    """The same text is kept in a source of its kind and dropped in another."""
+    rng = random.Random(6)
+    words = lambda marks: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{'-' * rng.randrange(marks)}{chr(97 + i % 26)}" for i in range(80))
+    odd = words(40)
+    rows = [(i, "en", "clean", words(2)) for i in range(150)] + [(1000 + i, "en", "marked", words(40)) for i in range(150)]
+    rows += [(5000, "en", "clean", odd), (5001, "en", "marked", odd)]
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert not got[5000] and got[5001] and sum(v for k, v in got.items() if k < 150) >= 148
+
+
 def test_sketch_quantiles_are_near(spark):
     values = [int(x) for x in np.random.default_rng(2).lognormal(5, 1, 3000)]
-    rows = spark.createDataFrame([(False, "en", "s", *[v] * len(rules.FLOORS)) for v in values], "base_failed boolean, lang string, source string, " + ", ".join(f"{k} long" for k in rules.FLOORS))
-    q = rules.quantiles(rules.sketches(rows), ["lang", "source"]).first()
-    for k, p in (("q1", 25), ("q2", 50), ("q3", 75)):
+    q = rules.quantiles(rules.sketches(measured_like(spark, [("en", "s", v) for v in values])), ["lang", "source"]).first()
+    for k, p in (("q25", 25), ("q50", 50), ("q75", 75), ("q90", 90), ("q99", 99)):
         assert abs(rules.GAMMA ** q[k] / (np.percentile(values, p) + 1) - 1) < 0.05
 
 
@@ -301,6 +470,22 @@ def test_mix_meets_targets_and_sql(spark):
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] and target[s] <= 2 * total[s] + 1e-6 for s in total)
 
 
+def test_mix_draws_null_and_repeated_ids_row_by_row(spark):
+    rows = [(None, f"w {'x ' * (i % 9)}", "a") for i in range(3000)] + [(7, "p q r s", "b")] * 3000 + [(i, "one two three", "c") for i in range(2000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sums = out.groupBy("doc.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 5 and r["most"] <= 2 for r in sums) and len(sums) == 3
+
+
+def test_scales_fill_the_rest(spark):
+    """The words expected are the rest, also where the longest documents are certain."""
+    sizes = [1] * 50 + [10] * 20 + [5000]
+    rows = spark.createDataFrame([("s", k, n) for k, n in Counter(sizes).items()], "source string, size long, n long")
+    for rest in (10.0, 200.0, 5100.0, 5249.0):
+        scale = mixing.scales(rows, spark.createDataFrame([("s", rest)], "s string, rest double")).first()["scale"]
+        assert abs(sum(k * min(1.0, scale * k) for k in sizes) - rest) < 1e-6
+
+
 def test_water_filling_stops_at_caps(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 400)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
@@ -330,6 +515,41 @@ def test_region_holds_most_of_the_content():
         assert webtext.main_text(page) == want
 
 
+def nameless(page):
+    """The page without classes, ids and the names of its elements' roles."""
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section|form)\b", r"<\1div", page)
+    return re.sub(r"(<div)[^>]*>", r"\1>", page)
+
+
+def test_method_alone_finds_the_article(spark):
+    """With all names gone, ratios, smoothing and threshold choose the region; without them, fewer pages come out right."""
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = [webtext.main_text(page) == webtext.main_text(nameless(page)) for page in rows]
+    assert np.mean(right) >= 0.9
+
+
+def test_clusters_decide(monkeypatch):
+    """A long list of links outweighs a short article unless its lines fall into the lower cluster."""
+    links = "".join(f"<li><a href='/{i}'>Another page to read {i}</a></li>" for i in range(60))
+    text = "".join(f"<p>Paragraph {i} of the text, which goes on for quite a while, as paragraphs of text do.</p>" for i in range(4))
+    page = f"<body><div><ul>{links}</ul></div><div>{text}</div></body>"
+    want = "\n".join(re.findall("<p>(.*?)</p>", text))
+    assert webtext.main_text(page) == want
+    monkeypatch.setattr(webtext, "content_lines", lambda ratios: np.ones(len(ratios), bool))
+    assert webtext.main_text(page) != want
+
+
+def test_names_only_weigh_in():
+    text = "".join(f"<p>Paragraph {i} of the text, which goes on for quite a while, as paragraphs of text do.</p>" for i in range(4))
+    want = "\n".join(re.findall("<p>(.*?)</p>", text))
+    for open_, close in (("<form>", "</form>"), ("<div class='page-comments-form'>", "</div>"), ("<div id='sidebar'>", "</div>"), ("<div class='search widget'>", "</div>")):
+        assert webtext.main_text(f"<body><nav><a href='/'>Home</a></nav>{open_}{text}{close}<footer>Foot</footer></body>") == want
+    related = "<p class='related'>This paragraph is about related work, and it is as much text as any other one here.</p>"
+    cards = "<div class='related'><a href='/a'>One</a><a href='/b'>Two</a></div>"
+    assert webtext.main_text(f"<body><article>{text}{related}{cards}{text}</article></body>").count("related work") == 1
+    assert "One" not in webtext.main_text(f"<body><article>{text}{cards}</article></body>")
+
+
 def test_pages_give_their_article(spark):
     import html as H
 
@@ -377,8 +597,11 @@ def test_links_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LIMIT", 20_000)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for prefix in (8, 12):
-        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, prefix)).collect()}
+    for prefix, hot in ((8, 50_000), (12, 50_000), (8, 20)):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        pairs = simhash.links(df, prefix)
+        assert all((int(np.int64(r["a"]).view(np.uint64)) ^ int(np.int64(r["b"]).view(np.uint64))).bit_count() == r["bits"] <= 4 for r in pairs.collect())
+        roots = {r["node"]: r["root"] for r in simhash.components(pairs).collect()}
         got, want = defaultdict(set), defaultdict(set)
         for x, y in zip(signed, brute_components(fps)):
             got[roots.get(x, x)].add(x)
@@ -388,8 +611,24 @@ def test_links_against_brute_force(spark, monkeypatch):
 
 def test_crowded_range_is_halved():
     fps = np.arange(3000, dtype=np.uint64)
-    links = list(simhash.collisions(fps, np.full(3000, 2), 56))
-    assert len(set(simhash._contracted(3000, links))) == 1
+    a, b = (np.concatenate(x) for x in zip(*simhash.collisions(fps, np.full(3000, 2), 56)))
+    x, y = simhash.forest(3000, a, b)
+    assert len(x) == 2999 and (np.bitwise_count(fps[x] ^ fps[y]) <= 4).all()
+    assert len(set(brute_roots(3000, zip(x.tolist(), y.tolist())))) == 1
+
+
+def brute_roots(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
 
 
 def test_components_of_a_chain(spark):
@@ -425,9 +664,22 @@ def brute_shingles(text):
     return {tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)}
 
 
+def test_parities_bound_the_difference(spark):
+    """Folded or not, parities never differ in more buckets than sets do in shingles."""
+    rng = np.random.default_rng(2)
+    for n, m, common in ((900, 1100, 800), (3000, 3300, 2900), (1020, 1030, 1000), (4000, 4200, 10), (1, 1, 1)):
+        h = rng.integers(0, 1 << 63, n + m, dtype=np.int64).view(np.uint64)
+        a, b = h[:n], np.concatenate((h[:common], h[n : n + m - common]))
+        df = spark.createDataFrame([(likeness.parities(a).tolist(), likeness.parities(b).tolist())], "a array<long>, b array<long>")
+        got = df.select(likeness.differing(F.col("a"), F.col("b"))).first()[0]
+        assert got <= n + m - 2 * common and (got > 0.15 * (n + m - 2 * common) or common == n)
+
+
 @pytest.mark.parametrize("run", [2000, 3])
 def test_one_of_each_finds_all_near_copies(spark, monkeypatch, run):
     monkeypatch.setattr(likeness, "RUN", run)
+    monkeypatch.setattr(likeness, "PART", 4)
+    monkeypatch.setattr(likeness, "BLOCK", 300 if run == 3 else 1 << 22)
     monkeypatch.setattr(likeness, "LAST", 20)
     rng = random.Random(8)
     common_part = [f"c{i}" for i in range(60)]
@@ -464,15 +716,65 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
-def test_language_scores_equal_plain_sums():
-    model = (["a", "b"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2).T).astype(np.float32))
-    text = "Some words, and Öther ones! " * 3
-    cells = langid.cells(text)
-    sums = model[1][cells].astype(np.float64).sum(axis=0)
-    names, scores = langid.predict([text, "", None, "123 !"], *model)
-    share = np.exp((sums - sums.max()) / len(cells) ** langid.TEMPER)
-    assert names == [model[0][int(sums.argmax())], "und", "und", "und"] and abs(scores[0] - share.max() / share.sum()) < 1e-9
-    assert langid.predict(["text"], [], np.zeros((langid.BUCKETS, 0), np.float32)) == (["und"], [0.0])
+def brute_cells(text):
+    """n-grams as tuples of letters, counted without hashing."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    padded = " " + " ".join("".join(c if c.isalpha() else " " for c in low).split()) + " "
+    grams = [padded[i : i + k] for k in (1, 2, 3) for i in range(len(padded) - k + 1)]
+    return Counter(g for g in grams if g != " ")
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
+def test_cells_do_not_depend_on_blocks(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    for text in ["Some words, and Öther ones! " * 3, " x", "a", "ab1cd", "  12 a ", "日本語 テキスト", "İi"]:
+        got = Counter(np.concatenate(list(langid.cells(text))).tolist())
+        assert sorted(got.values()) == sorted(brute_cells(text).values()), text
+    assert list(langid.cells("12 !")) == list(langid.cells("")) == []
+
+
+def test_language_scores_equal_plain_sums(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = (["a", "b"], np.log(np.vstack([[0.3, 0.7], rng.dirichlet(np.ones(langid.BUCKETS), 2).T])).astype(np.float32))
+    texts = ["Some words, and Öther ones! " * 3, "", "short", None, "123 !", "x" * 500]
+    for entries in (1 << 18, 8):
+        monkeypatch.setattr(langid, "ENTRIES", entries)
+        names, scores = langid.predict(texts, *model)
+        for text, name, score in zip(texts, names, scores):
+            cells = np.concatenate([np.zeros(0, np.int64), *langid.cells(text or "")])
+            if not len(cells):
+                assert (name, score) == ("und", 0.0)
+                continue
+            sums = model[1][1 + cells].astype(np.float64).sum(axis=0) + model[1][0]
+            share = np.exp((sums - sums.max()) / len(cells) ** langid.TEMPER)
+            assert name == model[0][int(sums.argmax())] and abs(score - share.max() / share.sum()) < 1e-6
+    assert langid.predict(["text"], [], np.zeros((langid.BUCKETS + 1, 0), np.float32)) == (["und"], [0.0])
+
+
+def test_language_query_against_plain_naive_bayes(spark, docs):
+    """The whole query against a dictionary of n-grams, without hashing."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    sums, n_docs = defaultdict(Counter), Counter()
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and (grams := brute_cells(r["text"])):
+            sums[r["lang"]].update(grams)
+            n_docs[r["lang"]] += 1
+    size = {k: sum(c.values()) + langid.ALPHA * langid.BUCKETS for k, c in sums.items()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_language_id"](spark, SF).collect()}
+    same = 0
+    for r in rows:
+        grams = brute_cells(r["text"])
+        score = {k: np.log(n_docs[k]) + sum(n * np.log((sums[k][g] + langid.ALPHA) / size[k]) for g, n in grams.items()) for k in sums}
+        assert got[r["doc_id"]]["held_out"] == held[r["doc_id"]]
+        same += got[r["doc_id"]]["lang_pred"] == max(sorted(score), key=score.get)
+    assert same >= 0.99 * len(rows)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "lang string, text string"))
 
 
 # --- pipeline
@@ -491,7 +793,12 @@ def test_stages_one_by_one(spark, docs):
     three = stage["near_duplicates"](spark, two, SF)
     texts = {r["doc_id"]: r["text"] for r in two.collect()}
     ids = sorted(texts)
-    assert sorted(r["doc_id"] for r in three.collect()) == sorted({ids[r] for r in brute_components([brute_fingerprint(texts[k]) for k in ids])})
+    # the stage links by operator 9's rule and, besides, by a Jaccard likeness of 0.8 of five-word sets
+    near = brute_components([brute_fingerprint(texts[k]) for k in ids])
+    sets = [brute_shingles(texts[k]) for k in ids]
+    alike = [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] and sets[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    roots = brute_roots(len(ids), [*enumerate(near), *alike])
+    assert sorted(r["doc_id"] for r in three.collect()) == sorted({ids[r] for r in roots})
     four = stage["mixing"](spark, three, SF)
     copies = {r["doc"]["doc_id"]: r["copies"] for r in mixing.mix(three).collect()}
     assert Counter(r["doc_id"] for r in four.collect()) == Counter({k: n for k, n in copies.items() if n})
