@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -32,25 +33,46 @@ def norm_for_match(texts: pa.Array) -> pa.Array:
     return pa.array((None if t is None else normalized(t) for t in texts.to_pylist()), pa.string())
 
 
+#: The line under a table's head.
+RULE = re.compile(r"\|(\s*:?-{3,}:?\s*\|)+\s*")
+
+
+def table_chunks(rows: list[str], size: int) -> list[str]:
+    """A table's rows packed under its head, its first row and the rule below it, which every chunk repeats. A row is never
+    cut, even if it is longer than size by itself."""
+    top = 2 if len(rows) > 1 and RULE.fullmatch(rows[1]) else 1
+    head = "\n".join(rows[:top])
+    out, room = [], 0
+    for row in rows[top:]:
+        if not out or len(row) > room:
+            out.append(head)
+            room = size - len(head) - 1
+        out[-1] += "\n" + row
+        room -= len(row) + 1
+    return out or [head]
+
+
 def chunk_paragraphs(text: str, size: int = 600, overlap: int = 80) -> list[str]:
-    """Paragraphs packed into chunks of at most size; a longer one is cut by a sliding window; each chunk after a packed
-    one begins with that one's tail."""
-    chunks: list[str] = []
-    held = ""
-    for paragraph in (p.strip() for p in text.split("\n")):
-        if not paragraph:
+    """Paragraphs, between empty lines, packed into chunks of at most size; a longer one is cut by a sliding window, a table
+    by rows. A chunk of prose after another begins with that one's last characters, so many as overlap says."""
+    parts: list[tuple[bool, str]] = []  # whether prose that may grow, and the chunk
+    prose: list[bool] = []
+    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text.strip()))):
+        rows = paragraph.split("\n")
+        if len(rows) > 1 and all(r.lstrip().startswith("|") for r in rows):
+            new = [(False, c) for c in table_chunks([r.strip() for r in rows if r.strip()], size)]
+        elif len(paragraph) > size:
+            new = [(False, paragraph[i : i + size]) for i in range(0, len(paragraph), size - overlap)]
+        elif parts and parts[-1][0] and len(parts[-1][1]) + 1 + len(paragraph) <= size:
+            parts[-1] = (True, f"{parts[-1][1]}\n{paragraph}")
             continue
-        if len(paragraph) > size:
-            chunks += [held] * bool(held)
-            held = ""
-            chunks += [paragraph[i : i + size] for i in range(0, max(1, len(paragraph) - overlap), size - overlap)]
-        elif held and len(held) + 1 + len(paragraph) > size:
-            chunks.append(held)
-            tail = held[-overlap:]
-            held = f"{tail}\n{paragraph}" if len(tail) + 1 + len(paragraph) <= size else paragraph
         else:
-            held = f"{held}\n{paragraph}" if held else paragraph
-    return chunks + [held] * bool(held)
+            new = [(True, paragraph)]
+        parts += new
+        prose += [not (len(rows) > 1 and rows[0].lstrip().startswith("|") and all(r.lstrip().startswith("|") for r in rows))] * len(new)
+    chunks = [c for _, c in parts]
+    joined = [chunks[i - 1][-overlap:] + c if i and overlap and prose[i] and prose[i - 1] else c for i, c in enumerate(chunks)]
+    return [c.strip() for c in joined if c.strip()]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -83,15 +105,41 @@ def anchor_quote(texts: pa.Array, quotes: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([f and f[i] for f in found], pa.int32()) for i in (0, 1)], ["start", "stop"])
 
 
+# CJK characters between which a gap closes, those that the token estimate counts, garbled ones.
+CJK = r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
+CJK_TOKENS = r"[\x{2E80}-\x{2FDF}\x{3000}-\x{312F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
+GARBLED = r"[\x{E000}-\x{F8FF}\x{FFFD}]"
+
+
+def _squeezed(text: Column) -> Column:
+    """Gaps between CJK characters closed, other runs of blanks one blank."""
+    return F.regexp_replace(F.regexp_replace(text, rf"(?U)(?<={CJK})\s+(?={CJK})", ""), r"[ \t]{2,}", " ")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def clean_text(text: Column) -> Column:
-    """No NUL, blanks squeezed, lines trimmed, at most one empty line; idempotent."""
-    blanks = F.regexp_replace(F.regexp_replace(text, r"\x00", ""), r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(blanks, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    """For passages: as squeezed, and lines joined by blanks; idempotent."""
+    return _stripped(F.regexp_replace(_squeezed(text), r"(?U)\s*\n\s*", " "))
+
+
+def clean_extracted(text: Column) -> Column:
+    """For storing: no NUL; paragraphs, between empty lines, squeezed one by one; empty ones go, borders stay."""
+    paragraphs = F.filter(F.split(F.replace(text, F.lit("\0"), F.lit("")), r"(?U)\n\s*\n"), lambda p: p.rlike(r"(?U)\S"))
+    return F.array_join(F.transform(paragraphs, lambda p: _stripped(_squeezed(p))), "\n\n")
+
+
+def terms_of(phrase: Column) -> Column:
+    """Distinct runs of Latin letters and digits, or of CJK characters, of a text in normal form, in order."""
+    return F.array_distinct(F.regexp_extract_all(phrase, F.lit(r"[a-z0-9]+|[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]+"), F.lit(0)))
 
 
-def extract_terms(query: Column) -> Column:
-    """Distinct runs of Latin letters and digits, or of CJK characters, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9]+|[\x{4E00}-\x{9FFF}]+"), F.lit(0)))
+def weighted(*terms: tuple[float, Column]) -> Column:
+    """Mean of values by weight; one that is null lends its weight to the others."""
+    total = sum((F.coalesce(w * v, F.lit(0.0)) for w, v in terms), F.lit(0.0))
+    return total / sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in terms), F.lit(0.0))
 
 
 def script_language(text: Column) -> Column:
@@ -103,13 +151,14 @@ def script_language(text: Column) -> Column:
 def garbled_ratio(text: Column) -> Column:
     """Share of private-use and replacement characters."""
     n = F.length(text)
-    return F.when(n > 0, F.regexp_count(text, F.lit(r"[\x{E000}-\x{F8FF}\x{FFFD}]")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.regexp_count(text, F.lit(GARBLED)) / n).otherwise(F.lit(0.0))
 
 
 def token_estimate(text: Column) -> Column:
-    """Four ASCII characters or one other to a token, rounded up."""
-    ascii_ = F.regexp_count(text, F.lit(r"[\x00-\x7F]"))
-    return (F.ceil(ascii_ / 4.0) + F.length(text) - ascii_).cast("long")
+    """0.8 tokens a CJK character, 3.5 other characters a token, blanks none; halves go to the even side."""
+    cjk = F.regexp_count(text, F.lit(CJK_TOKENS))
+    other = F.greatest(F.length(text) - cjk - F.regexp_count(text, F.lit(r"(?U)\s")), F.lit(0))
+    return F.bround(cjk * 0.8 + other / 3.5, 0).cast("long")
 
 
 def register(spark: SparkSession) -> None:

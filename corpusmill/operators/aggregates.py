@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.ranks import nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -68,9 +69,9 @@ SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95)
 """)
 def pct_disc_latency(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles."""
-    load(spark, d, "events").createOrReplaceTempView("corpusmill_events")
-    at = lambda p, f="": f"percentile_disc({p}) WITHIN GROUP (ORDER BY value) {f}"
-    return spark.sql(f"SELECT event_type, {at(0.5)} AS p50, {at(0.95)} AS p95, {at(0.99)} AS p99, {at(0.5, 'FILTER (WHERE user_id % 2 = 0)')} AS even_p50 FROM corpusmill_events GROUP BY event_type")
+    events = load(spark, d, "events")
+    every = nearest_rank(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return every.join(nearest_rank(events.where("user_id % 2 = 0"), ["event_type"], "value", {"even_p50": 0.5}), "event_type", "left")
 
 
 @query("""
@@ -138,13 +139,13 @@ def token_totals_grouping(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT d.day, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'empty' ELSE 'value' END AS state FROM (SELECT CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 3, INTERVAL 1 DAY)) AS DATE) AS day FROM events) d
-LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' AND user_id < 20 GROUP BY 1) e ON e.day = d.day
+LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1) e ON e.day = d.day
 """)
 def zero_filled_days(spark: SparkSession, d: str) -> DataFrame:
     """A calendar joined with counts, empty days kept."""
     events = load(spark, d, "events")
     days = events.agg(F.explode(F.sequence(F.to_date(F.min("ts")), F.date_add(F.to_date(F.max("ts")), 3))).alias("day"))
-    counts = events.where("event_type = 'signup' and user_id < 20").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("k"))
+    counts = events.where("event_type = 'signup'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("k"))
     return days.join(counts, "day", "left").select("day", F.coalesce("k", F.lit(0)).alias("n"), F.when(F.col("k").isNull(), "empty").otherwise("value").alias("state"))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.plans.registry import query
@@ -90,32 +89,29 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("probe", F.coalesce(F.round(F.col("s") / F.col("n"), 9), F.lit(0.0)).alias("average_precision"))
 
 
-def rank_overlap(a: list[int], b: list[int], p: float = 0.9) -> float:
-    """Rank-biased overlap of two rankings of equal length, extrapolated."""
-    k = min(len(a), len(b))
-    if not k:
-        return 1.0 if len(a) == len(b) else 0.0
-    left, right, total, shared = set(), set(), 0.0, 0
-    for depth in range(1, k + 1):
-        left.add(a[depth - 1])
-        right.add(b[depth - 1])
-        shared = len(left & right)
-        total += shared / depth * p ** (depth - 1)
-    return (1 - p) * total + shared / k * p**k
+def rank_overlap(a: Column, b: Column, p: float = 0.9) -> Column:
+    """Rank-biased overlap of two rankings, extrapolated, to the depth of the longer one; the shorter is taken to hold
+    nothing more. 1 for equal ones, 0 for those without a common element, null for two empty ones."""
+    depth = F.greatest(F.size(a), F.size(b))
+    shared = lambda n: F.size(F.array_intersect(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)))
+    total = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0.0), lambda s, n: s + shared(n) / n * F.pow(F.lit(p), n))
+    value = shared(F.greatest(depth, F.lit(1))) / depth * F.pow(F.lit(p), depth) + total * ((1 - p) / p)
+    return F.when(depth > 0, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 4))
 
 
-@query()
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id AS probe, v AS pv FROM e WHERE vec_id % 20 = 0),
+far AS (SELECT probe, vec_id, round(1 - list_cosine_similarity(pv, v), 9) AS x, round(1 - list_cosine_similarity(pv[1:32], v[1:32]), 9) AS y FROM p, e WHERE vec_id <> probe),
+lists AS (SELECT probe, list(vec_id ORDER BY x, vec_id)[1:10] AS a, list(vec_id ORDER BY y, vec_id)[1:10 - CAST(probe % 40 / 20 * 3 AS INTEGER)] AS b FROM far GROUP BY probe)
+SELECT probe, round(0.1 / 0.9 * list_sum(list_transform(generate_series(1, 10), lambda n: len(list_intersect(a[1:n], b[1:n])) / n * pow(0.9, n))) + len(list_intersect(a, b)) / 10 * pow(0.9, 10), 4) AS rbo FROM lists
+""")
 def rbo(spark: SparkSession, d: str) -> DataFrame:
-    """Rank-biased overlap of each probe's ten nearest by all and by half of the dimensions."""
+    """Rank-biased overlap of each probe's ten nearest by all dimensions and its ten, or seven, nearest by half of them."""
     vectors = load(spark, d, "embeddings")
     half = vectors.withColumn("embedding", F.slice("embedding", 1, 32))
     lists = lambda v, name: nearest(v.where("vec_id % 20 = 0"), v, 10).groupBy("probe").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "vec_id"))), lambda x: x["vec_id"]).alias(name))
-
-    @F.arrow_udf("double")
-    def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([rank_overlap(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())])
-
-    return lists(vectors, "a").join(lists(half, "b"), "probe").select("probe", F.round(overlap("a", "b"), 9).alias("rbo"))
+    shorter = F.slice(F.col("b"), F.lit(1), (10 - F.col("probe") % 40 / 20 * 3).cast("int"))
+    return lists(vectors, "a").join(lists(half, "b"), "probe").select("probe", rank_overlap(F.col("a"), shorter).alias("rbo"))
 
 
 @query("""

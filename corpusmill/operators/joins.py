@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.frames import checkpointed
 from corpusmill.plans.registry import query
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import load
@@ -48,22 +49,47 @@ def exists_semi(spark: SparkSession, d: str) -> DataFrame:
     return suppliers.join(lines, suppliers["s_suppkey"] == lines["l_suppkey"], "left_semi").select("s_suppkey", "s_name")
 
 
-@query("""
-WITH RECURSIVE edges AS (SELECT n_nationkey AS child, (n_nationkey * 7 + 3) % 25 AS parent FROM nation WHERE n_nationkey % 4 <> 0),
+EDGES = """
+WITH RECURSIVE edges AS (SELECT o_orderkey AS child, parent FROM (SELECT o_orderkey, o_orderkey % 4 AS kind, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL AND kind <> 0),
 reach AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT r.node, e.parent FROM reach r JOIN edges e ON e.child = r.ancestor)
-SELECT node, ancestor FROM reach
-""")
-def recursive_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All ancestors in a dependency graph: paths double each round until none is new."""
-    edges = load(spark, d, "nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("node"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("ancestor"))
-    reach, size = edges, -1
+"""
+
+
+def dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """node, ancestor: orders that depend on the customer's order before."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), before.alias("ancestor")).where("ancestor is not null and node % 4 <> 0")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (node, ancestor) pairs of a graph's edges. Paths of at most 2^k steps meet those of just 2^k, so that the number
+    of rounds is the logarithm of the longest path; each round is checkpointed and counted, and joins nothing twice."""
+    reach = step = checkpointed(edges.select("node", "ancestor").distinct())
+    size = -1
     while (now := reach.count()) != size:
         size = now
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
-        reach = reach.union(step).distinct()
+        on = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
+        longer = on(reach, step)
+        step = checkpointed(on(step, step).distinct())
+        reach = checkpointed(reach.union(longer).distinct())
     return reach
 
 
+@query(EDGES + "SELECT node, ancestor FROM reach")
+def recursive_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All orders that an order depends on."""
+    return closure(dependencies(spark, d))
+
+
+@query(EDGES + ", depth AS (SELECT node, count(*) AS layer FROM reach GROUP BY 1) SELECT o_orderkey AS node, coalesce(layer, 0) AS layer FROM orders LEFT JOIN depth ON node = o_orderkey")
+def dependency_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The layer of each order: those that depend on nothing are 0, others one above what they depend on. As every order
+    has at most one that it depends on, that is how many it depends on in all."""
+    depth = recursive_closure(spark, d).groupBy("node").agg(F.count("*").alias("n"))
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"))
+    return orders.join(depth, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("layer"))
+
+
 @query("""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id AS probe, v AS pv FROM e WHERE vec_id % 20 = 0)
 SELECT probe, vec_id, CAST(rn AS INTEGER) AS rn FROM (

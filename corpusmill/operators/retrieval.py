@@ -90,21 +90,40 @@ def matched(rows: DataFrame, phrase: str = PHRASE, terms: tuple[str, ...] = TERM
     return rows.select("*", norm.contains(phrase).alias("phrase"), hits.alias("hits"))
 
 
+def holding(docs: DataFrame, terms: tuple[str, ...] = TERMS) -> Column:
+    """Whether a whole text has all the terms: only then can a chunk of it."""
+    t = F.lower("text")
+    found = F.lit(True)
+    for term in terms:
+        found = found & t.contains(term)
+    return found
+
+
+def found_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical hits and the first chunks of the nearest 400 documents, once each, with distance (null for documents without
+    a vector). Texts are tested before they are cut, so that only those that count are."""
+    far = distances(load(spark, d, "embeddings"), PROBE).select(F.col("vec_id").alias("doc_id"), "distance")
+    near = far.orderBy(F.round("distance", 9), "doc_id").limit(400).select("doc_id", F.lit(True).alias("near"))
+    docs = load(spark, d, "documents").select("doc_id", "source", "text")
+    docs = docs.join(F.broadcast(near), "doc_id", "left").where(holding(docs) | F.col("near")).join(far, "doc_id", "left")
+    return matched(chunks(docs)).where((F.col("hits") == len(TERMS)) | ((F.col("chunk_index") == 0) & F.col("near")))
+
+
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical hits and the first chunks of the nearest 400 documents, once each, with tier and fused score; chunks of
-    documents without a vector have no distance and drop out."""
-    docs = load(spark, d, "documents")
-    found = matched(chunks(docs)).join(docs.select("doc_id", "source"), "doc_id")
-    far = distances(load(spark, d, "embeddings"), PROBE)
-    near = far.orderBy(F.round("distance", 9), "vec_id").limit(400).select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("near"))
-    rows = found.join(F.broadcast(near), "doc_id", "left").where((F.col("hits") == len(TERMS)) | ((F.col("chunk_index") == 0) & F.col("near")))
-    rows = rows.join(far.select(F.col("vec_id").alias("doc_id"), "distance"), "doc_id")
+    """The chunks found, with tier and fused score; those without a distance drop out (undistanced_hits counts them)."""
+    rows = found_chunks(spark, d).where("distance is not null")
     full = F.col("hits") == len(TERMS)
     tier = F.when(F.col("phrase"), 2).when(full, 1).otherwise(0)
     bonus = F.when(F.col("phrase"), 0.25).when(full, 0.15).otherwise(0.05 * F.col("hits") / float(len(TERMS)))
     return rows.select("doc_id", "source", "chunk_index", tier.alias("tier"), F.least(F.lit(0.999), F.round(1 - F.col("distance") + bonus, 4)).alias("score"))
 
 
+@query(CHUNKS + "SELECT count(*) AS candidates, count(*) FILTER (d.vec_id IS NULL) AS skipped FROM candidates c LEFT JOIN dense d ON d.vec_id = c.doc_id")
+def undistanced_hits(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates there are, and how many of them are passed over for want of a distance."""
+    return found_chunks(spark, d).agg(F.count("*").alias("candidates"), F.count_if(F.col("distance").isNull()).alias("skipped"))
+
+
 @query(DENSE + "SELECT vec_id, round(distance, 6) AS distance FROM dense WHERE label <> 3 ORDER BY round(distance, 9), vec_id LIMIT 25")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = distances(load(spark, d, "embeddings").where("label <> 3 or vec_id = 0"), PROBE).where("label <> 3")
@@ -113,7 +132,8 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CHUNKS + "SELECT doc_id, chunk_index, phrase FROM lexical")
 def lexical_and(spark: SparkSession, d: str) -> DataFrame:
-    return matched(chunks(load(spark, d, "documents"))).where(F.col("hits") == len(TERMS)).select("doc_id", "chunk_index", "phrase")
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return matched(chunks(docs.where(holding(docs)))).where(F.col("hits") == len(TERMS)).select("doc_id", "chunk_index", "phrase")
 
 
 @query(CHUNKS + "SELECT doc_id, chunk_index, tier, score FROM fused ORDER BY tier DESC, score DESC, doc_id, chunk_index LIMIT 50")
@@ -191,63 +211,3 @@ def rule_router(spark: SparkSession, d: str) -> DataFrame:
     t = F.lower("text")
     route = F.when(t.rlike("password|kill"), "safety").when(t.rlike(r"\b(buy|sell|order)\b"), "trade").when(t.rlike("today|latest|now"), "time").when(t.rlike("^(what|how|the)"), "overview")
     return load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", route.otherwise("general").alias("route"))
-
-
-def select_group(pdf_rows: list[dict], floor: float, least: int, stale_quota: int, budget: int) -> list[dict]:
-    """Documents of one question in rank order, under a relevance floor once enough are in, a quota of stale ones, and a
-    budget of characters that skips what does not fit instead of stopping."""
-    chosen, used, stale = [], 0, 0
-    for row in pdf_rows:
-        if len(chosen) >= least and row["score"] < floor:
-            continue
-        if row["stale"] and stale >= stale_quota or used + row["size"] > budget:
-            continue
-        used, stale = used + row["size"], stale + row["stale"]
-        chosen.append(row)
-    return chosen
-
-
-@query()
-def select_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Selection for each probe among its 60 nearest vectors: the fold is sequential, so each question is one group of at
-    most 60 rows."""
-    vectors = load(spark, d, "embeddings")
-    near = nearest(vectors.where("vec_id % 20 = 0"), vectors, 60).select("probe", "vec_id", "distance")
-    sizes = load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("n_chars").alias("size"), (F.col("doc_id") % 3 == 0).alias("stale"))
-
-    def choose(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-r["score"], r["vec_id"]))
-        kept = select_group(rows, 0.2, 3, 4, 20_000)
-        return pa.table({"probe": pa.array([r["probe"] for r in kept], pa.int64()), "vec_id": pa.array([r["vec_id"] for r in kept], pa.int64()), "place": pa.array(range(1, len(kept) + 1), pa.int32())})
-
-    return near.join(sizes, "vec_id").select("probe", "vec_id", (1 - F.col("distance")).alias("score"), "size", "stale").groupBy("probe").applyInArrow(choose, "probe long, vec_id long, place int")
-
-
-def mmr(vectors: np.ndarray, relevance: np.ndarray, k: int, weight: float) -> list[int]:
-    """Greedy choice of k rows by weight * relevance less (1 - weight) * the greatest likeness to those chosen."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    chosen: list[int] = []
-    nearness = np.zeros(len(relevance))
-    free = np.ones(len(relevance), bool)
-    while free.any() and len(chosen) < k:
-        gain = np.where(free, weight * relevance - (1 - weight) * nearness, -np.inf)
-        best = int(gain.argmax())
-        chosen.append(best)
-        free[best] = False
-        like = unit @ unit[best]
-        nearness = np.maximum(nearness, like) if len(chosen) > 1 else like
-    return chosen
-
-
-@query()
-def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    """Ten diverse ones of each probe's 40 nearest vectors."""
-    vectors = load(spark, d, "embeddings")
-    near = nearest(vectors.where("vec_id % 20 = 0"), vectors, 40).select("probe", "vec_id", "distance")
-
-    def choose(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["distance"], r["vec_id"]))
-        picked = mmr(np.array([r["embedding"] for r in rows], float), np.array([1 - r["distance"] for r in rows]), 10, 0.7)
-        return pa.table({"probe": pa.array([rows[i]["probe"] for i in picked], pa.int64()), "vec_id": pa.array([rows[i]["vec_id"] for i in picked], pa.int64()), "place": pa.array(range(1, len(picked) + 1), pa.int32())})
-
-    return near.join(vectors.select("vec_id", "embedding"), "vec_id").groupBy("probe").applyInArrow(choose, "probe long, vec_id long, place int")

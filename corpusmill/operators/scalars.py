@@ -13,7 +13,7 @@ from corpusmill.sources.tables import load
 SELECT part.p_partkey, try_cast(regexp_replace(regexp_replace('$ ' || p_retailprice || ' USD', '[$,]', '', 'g'), '[A-Z ]+', '', 'g') AS DOUBLE) AS amount,
   try_cast(nullif(regexp_extract('FY' || (1990 + p_size) || 'E', '((19|20)\d\d)', 1), '') AS INTEGER) AS year, try_cast('n/a' || p_size AS DOUBLE) AS bad FROM part
 """)
-def coerce_numbers(spark: SparkSession, d: str) -> DataFrame:
+def price_texts(spark: SparkSession, d: str) -> DataFrame:
     """Numbers out of text with currency signs and units; years; null for what is none."""
     amount = F.regexp_replace(F.regexp_replace(F.concat(F.lit("$ "), F.col("p_retailprice").cast("string"), F.lit(" USD")), "[$,]", ""), "[A-Z ]+", "")
     year = F.nullif(F.regexp_extract(F.concat(F.lit("FY"), (1990 + F.col("p_size")).cast("string"), F.lit("E")), r"((19|20)\d\d)", 1), F.lit(""))
@@ -25,23 +25,13 @@ def collapse_truncate(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.substring(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")), 1, 120).alias("head"))
 
 
-@query("""
-SELECT n_nationkey, CASE lower(trim(c)) WHEN 'us dollar' THEN 'USD' WHEN 'euro' THEN 'EUR' WHEN '$' THEN 'USD' ELSE upper(trim(c)) END AS currency
-FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'US Dollar' WHEN 1 THEN ' euro' WHEN 2 THEN '$' ELSE 'chf ' END AS c FROM nation)
-""")
-def normalize_currency(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.element_at(F.array(F.lit("US Dollar"), F.lit(" euro"), F.lit("$"), F.lit("chf ")), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    known = F.create_map(*[F.lit(x) for kv in (("us dollar", "USD"), ("euro", "EUR"), ("$", "USD")) for x in kv])
-    return load(spark, d, "nation").select("n_nationkey", F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.upper(F.trim(raw))).alias("currency"))
-
-
 @query(r"""
 SELECT doc_id, list_transform(list_filter([struct_pack(at := instr(t, k), k := k) FOR k IN ['the', 'der', 'les', 'que']], lambda x: x.at > 0), lambda x: x.k)[list_position(
   list_transform(list_filter([struct_pack(at := instr(t, k), k := k) FOR k IN ['the', 'der', 'les', 'que']], lambda x: x.at > 0), lambda x: x.at),
   list_min(list_transform(list_filter([struct_pack(at := instr(t, k), k := k) FOR k IN ['the', 'der', 'les', 'que']], lambda x: x.at > 0), lambda x: x.at)))] AS issuer
 FROM (SELECT doc_id, lower(text) AS t FROM documents)
 """)
-def issuer_detection(spark: SparkSession, d: str) -> DataFrame:
+def first_signature(spark: SparkSession, d: str) -> DataFrame:
     """The signature that occurs first in a text."""
     t = F.lower("text")
     found = F.filter(F.array(*[F.struct(F.instr(t, k).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(("the", "der", "les", "que"))]), lambda x: x["at"] > 0)
@@ -84,7 +74,7 @@ def renumber_evidence(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 SELECT doc_id, regexp_matches(text, '\d+(\.\d+)?\s?(%|USD|EUR|million)|[$€]\s?\d') AS claims, CAST(len(regexp_extract_all(text, '\d+')) AS INTEGER) AS numbers FROM documents
 """)
-def numeric_claims(spark: SparkSession, d: str) -> DataFrame:
+def number_mentions(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.col("text").rlike(r"\d+(\.\d+)?\s?(%|USD|EUR|million)|[$€]\s?\d").alias("claims"), F.regexp_count("text", F.lit(r"\d+")).alias("numbers"))
 
 
@@ -132,7 +122,7 @@ def source_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p_partkey, w[1] AS head, w[len(w)] AS tail, list_transform(generate_series(2, least(6, length(p_brand))), lambda n: substr(p_brand, 1, n)) AS prefixes FROM (SELECT p_partkey, p_brand, string_split(p_type, ' ') AS w FROM part)
 """)
-def affix_candidates(spark: SparkSession, d: str) -> DataFrame:
+def brand_prefixes(spark: SparkSession, d: str) -> DataFrame:
     w = F.split("p_type", " ")
     grams = F.transform(F.sequence(F.lit(2), F.least(F.lit(6), F.length("p_brand"))), lambda n: F.substring(F.col("p_brand"), F.lit(1), n))
     return load(spark, d, "part").select("p_partkey", F.element_at(w, 1).alias("head"), F.element_at(w, -1).alias("tail"), grams.alias("prefixes"))

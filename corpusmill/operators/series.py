@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
+from .joins import EDGES, recursive_closure
+
 FIVE = """
 WITH obs AS (SELECT event_id, ts, user_id % 5 AS host, event_type AS subject, value, lag(CAST(value > 50 AS INTEGER)) OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id) AS prev, CAST(value > 50 AS INTEGER) AS state FROM events),
 five AS (
@@ -140,21 +142,16 @@ def resource_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
-WITH RECURSIVE edges AS (SELECT n_nationkey AS child, (n_nationkey * 7 + 3) % 25 AS parent FROM nation WHERE n_nationkey % 4 <> 0),
-reach AS (SELECT child AS node, parent AS ancestor FROM edges UNION SELECT r.node, e.parent FROM reach r JOIN edges e ON e.child = r.ancestor),
-down AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey % 6 = 1)
-SELECT n_nationkey AS node, n_nationkey IN (SELECT node FROM down) AS is_down, n_nationkey IN (SELECT r.node FROM reach r JOIN down ON down.node = r.ancestor WHERE r.node <> r.ancestor) AS affected,
-  n_nationkey IN (SELECT node FROM down) AND n_nationkey NOT IN (SELECT r.node FROM reach r JOIN down ON down.node = r.ancestor WHERE r.node <> r.ancestor) AS root_cause FROM nation
+@query(EDGES + """
+, down AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), hit AS (SELECT DISTINCT r.node FROM reach r JOIN down ON down.node = r.ancestor)
+SELECT o_orderkey AS node, o_orderstatus = 'F' AS is_down, hit.node IS NOT NULL AS affected, o_orderstatus = 'F' AND hit.node IS NULL AS root_cause FROM orders LEFT JOIN hit ON hit.node = o_orderkey
 """)
 def dependency_health(spark: SparkSession, d: str) -> DataFrame:
     """Down, affected by an ancestor that is down, or the root cause."""
-    from .joins import recursive_closure
-
-    nodes = load(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    down = nodes.where("node % 6 = 1")
-    hit = recursive_closure(spark, d).where("node <> ancestor").join(down.withColumnRenamed("node", "ancestor"), "ancestor").select("node").distinct().withColumn("hit", F.lit(True))
-    rows = nodes.join(hit, "node", "left").select("node", (F.col("node") % 6 == 1).alias("is_down"), F.coalesce("hit", F.lit(False)).alias("affected"))
+    nodes = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("is_down"))
+    down = nodes.where("is_down").select(F.col("node").alias("ancestor"))
+    hit = recursive_closure(spark, d).join(down, "ancestor").select("node").distinct().withColumn("hit", F.lit(True))
+    rows = nodes.join(hit, "node", "left").select("node", "is_down", F.coalesce("hit", F.lit(False)).alias("affected"))
     return rows.withColumn("root_cause", F.col("is_down") & ~F.col("affected"))
 
 

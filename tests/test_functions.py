@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import textfns
 from corpusmill.operators.evaluation import rank_overlap
-from corpusmill.operators.retrieval import mmr, select_group
+from corpusmill.operators.selection import diverse
 from corpusmill.sources import sinks, tables
 
 
@@ -21,13 +21,26 @@ def test_normalising_twice_changes_nothing(text):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab c", max_size=900), max_size=6))
 def test_chunks_hold_every_paragraph(paragraphs):
-    text = "\n".join(paragraphs)
-    chunks = textfns.chunk_paragraphs(text)
-    assert all(0 < len(c) <= 600 for c in chunks)
-    for p in (p.strip() for p in text.split("\n")):
+    chunks = textfns.chunk_paragraphs("\n\n".join(paragraphs))
+    assert all(0 < len(c) <= 680 for c in chunks)  # 600 and the 80 characters before
+    for p in (p.strip() for p in paragraphs):
         assert not p or any(p[:80] in c for c in chunks)
 
 
+def test_chunks_overlap_in_prose_only():
+    table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| row {i} | {'x' * 40} |" for i in range(30))
+    text = "word " * 200 + "\n\n" + table + "\n\n" + "tail " * 10 + "\n\n" + "y" * 590
+    chunks = textfns.chunk_paragraphs(text)
+    rows = [c for c in chunks if c.startswith("|")]
+    assert len(rows) > 2 and all(c.startswith("| a | b |\n| --- | --- |\n| row") and len(c) <= 600 for c in rows)
+    assert [r for c in rows for r in c.split("\n")[2:]] == table.split("\n")[2:]
+    assert chunks[1].startswith(("word " * 200).strip()[:600][-80:].strip()) and chunks[-2] == ("tail " * 10).strip()
+    assert chunks[-1] == ("tail " * 10).strip()[-80:] + "y" * 590
+    long_row = "| " + "z" * 900 + " |"
+    assert textfns.chunk_paragraphs(f"| h |\n{long_row}") == [f"| h |\n{long_row}"]
+    assert textfns.chunk_paragraphs("| h |\n|---|") == ["| h |\n|---|"] and textfns.chunk_paragraphs(" \n\n ") == []
+
+
 def test_anchor_prefers_the_only_place():
     assert textfns.anchored("one two three", "two") == (4, 7)
     assert textfns.anchored("One  Two three", "one two") == (0, 8)
@@ -39,23 +52,55 @@ def test_column_functions(spark):
     rows = spark.createDataFrame([("a\x00  b \n\n\n\n c",), ("",), (None,)], "t string").select(
         textfns.clean_text(F.col("t")).alias("c"), textfns.script_language(F.col("t")).alias("s"), textfns.token_estimate(F.col("t")).alias("n")
     )
-    assert [tuple(r) for r in rows.collect()][:2] == [("a b\n\nc", "en", 3), ("", "unknown", 0)]
+    assert [tuple(r) for r in rows.collect()][:2] == [("a\x00 b c", "en", 1), ("", "unknown", 0)]
 
 
-def test_rank_overlap_bounds():
-    assert abs(rank_overlap([1, 2, 3], [1, 2, 3]) - 1) < 1e-12
-    assert rank_overlap([1, 2], [3, 4]) == 0
+def brute_overlap(a, b, p=0.9):
+    depth = max(len(a), len(b))
+    if not depth:
+        return None
+    shared = lambda n: len(set(a[:n]) & set(b[:n]))
+    return round(shared(depth) / depth * p**depth + (1 - p) / p * sum(shared(n) / n * p**n for n in range(1, depth + 1)), 4)
 
 
-def test_selection_skips_what_does_not_fit():
-    rows = [dict(score=0.9, stale=False, size=8), dict(score=0.8, stale=False, size=9), dict(score=0.7, stale=True, size=2)]
-    assert [r["size"] for r in select_group(rows, 0.1, 1, 1, 10)] == [8, 2]
+def test_rank_overlap(spark):
+    pairs = [([1, 2, 3], [1, 2, 3]), ([1, 2], [3, 4]), ([], []), ([1], []), ([1, 2, 3, 4, 5], [2, 1]), ([5, 4], [4, 5, 6, 7])]
+    rows = spark.createDataFrame(pairs, "a array<int>, b array<int>").select("a", "b", rank_overlap(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all((r["x"] is None) == (brute_overlap(r["a"], r["b"]) is None) and abs((r["x"] or 0) - (brute_overlap(r["a"], r["b"]) or 0)) <= 1e-4 for r in rows)
+    assert rows[0]["x"] == 1 and rows[1]["x"] == 0
 
 
-def test_mmr_of_weight_one_is_plain_ranking():
+def test_diversity_of_weight_one_is_plain_ranking_and_quotas_give_way():
     rng = np.random.default_rng(1)
-    relevance = rng.random(20)
-    assert mmr(rng.random((20, 4)), relevance, 8, 1.0) == list(np.argsort(-relevance)[:8])
+    rows = [{"embedding": rng.random(4), "source": "a", "month": i % 4} for i in range(12)]
+    assert diverse(rows, 1.0, 8, 99, 99) == list(range(8))
+    # of one source two at most once three are in; the rest is let in by rank, since nothing else is there
+    assert diverse(rows, 1.0, 8, 2, 99) == list(range(8))
+    mixed = [{"embedding": [1.0, 0.0], "source": "b" if i > 8 else "a", "month": None} for i in range(12)]
+    assert diverse(mixed, 1.0, 6, 2, 3) == [0, 1, 2, 9, 10, 3]
+    same = [{"embedding": [1.0, 0.0], "source": None, "month": None}] * 3 + [{"embedding": [0.0, 1.0], "source": None, "month": None}]
+    assert diverse(same, 0.5, 2) == [0, 3]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.booleans()), min_size=1, max_size=12), st.floats(0, 1))
+def test_diversity_against_plain_greedy(items, weight):
+    vectors = [[1.0, 0.2], [0.3, 1.0], [-1.0, 0.5]]
+    rows = [{"embedding": vectors[v], "source": s if known else None, "month": v} for v, s, known in items]
+    unit = np.array([r["embedding"] for r in rows]) / np.linalg.norm([r["embedding"] for r in rows], axis=1, keepdims=True)
+    chosen, left = [], list(range(len(rows)))
+    while left and len(chosen) < 5:
+        ok = [i for i in left if len(chosen) < 3 or not any(rows[i][k] is not None and sum(rows[j][k] == rows[i][k] for j in chosen) >= m for k, m in (("source", 2), ("month", 3)))]
+        if not ok:
+            break
+        gain = {i: weight * (1 - i / len(rows)) - (1 - weight) * max((float(unit[i] @ unit[j]) for j in chosen), default=0.0) for i in ok}
+        best = max(ok, key=lambda i: (round(gain[i], 12), -i))
+        chosen.append(best)
+        left.remove(best)
+    got = diverse(rows, weight, 5, 2, 3)
+    assert len(got) == min(5, len(rows)) and len(set(got)) == len(got)
+    if len({round(x, 9) for x in gain.values()} if chosen else ()) > 1 and weight in (0.0, 1.0):
+        assert got == chosen + left[: 5 - len(chosen)]
 
 
 def test_sinks(spark, tmp_path):
