@@ -31,7 +31,7 @@ WIDTH, SEED = 5, 42
 #: One of so many sets is read to learn which shingles come last, and how many of those there may be.
 EVERY, LAST = 32, 100_000
 #: Sets of one shingle that are all paired at once, sets of a block beyond that, and rounds among representatives.
-RUN, PART, ROUNDS = 48, 1000, 2
+RUN, PART, ROUNDS = 48, 1000, 1
 #: Shingles that one task compares at a time.
 BLOCK = 1 << 22
 #: Buckets of parities at least; a power of two.
@@ -122,35 +122,42 @@ def possible(n: np.ndarray, at: np.ndarray, i: np.ndarray, o: np.ndarray) -> np.
 
 
 def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, run: int | None = None, apart: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of sets that share a shingle and may be alike, and which rows (after sorting by h, set) are of
+    """Distinct pairs of sets that share a shingle and may be alike, with a pivot, the least set that shares it, which names
+    pairs that are best compared together; and which rows (after sorting by h, set) are of
     shingles that more than run sets hold: of those, each set is paired with the two least and with the one before it.
     apart: only pairs that differ in all of these count. Rows are distinct and sorted."""
     n, at = n.astype(np.int64), at.astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.array([], np.int64)
     size = np.diff(np.append(new, len(h)))
     hot = np.zeros(len(h), bool)
-    found = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros((0, 3), np.int64)]
 
-    def enter(i: np.ndarray, o: np.ndarray) -> None:
+    def enter(i: np.ndarray, o: np.ndarray, pivot: int) -> None:
         good = possible(n, at, i, o) & (sets[i] != sets[o])
         for kind in apart or ():
             good &= kind[i] != kind[o]
         if good.any():
-            found.append(np.stack((sets[i][good], sets[o][good]), axis=1))
+            found.append(np.stack((sets[i][good], sets[o][good], np.full(int(good.sum()), pivot)), axis=1))
 
     for start, k in zip(new[size > 1].tolist(), size[size > 1].tolist()):
         if run and k > run:
             hot[start : start + k] = True
             x = np.arange(start + 1, start + k)
             for first in (np.full(k - 1, start), np.full(k - 1, start + 1), x - 1):
-                enter(np.minimum(first, x), np.maximum(first, x))
+                enter(np.minimum(first, x), np.maximum(first, x), sets[start])
         else:
             for i in range(start, start + k - 1):
                 o = np.arange(i + 1, start + k)
-                enter(np.full(len(o), i), o)
+                enter(np.full(len(o), i), o, sets[start])
         if len(found) > 1 << 16:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    return np.unique(np.concatenate(found), axis=0), hot
+            found = [least_pivots(np.concatenate(found))]
+    return least_pivots(np.concatenate(found)), hot
+
+
+def least_pivots(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, with its least pivot."""
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)))] if len(pairs) else pairs
 
 
 def rows_of(batch: pa.Table, names: tuple[str, ...] = ("h", "set", "n", "at")) -> list[np.ndarray]:
@@ -163,7 +170,7 @@ def rows_of(batch: pa.Table, names: tuple[str, ...] = ("h", "set", "n", "at")) -
 
 
 def candidates(firsts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, of sets that may be alike, and the rows of firsts (h, set, n, at) of the shingles that
+    """Distinct pairs (a, b, pivot), a < b, of sets that may be alike, and the rows of firsts (h, set, n, at) of the shingles that
     more than RUN sets hold, of which not all pairs are given; rows: about how many sets there are."""
     ranges, run = 1 << min(20, max(6, (rows // 500).bit_length())), RUN
     cut = firsts.withColumn("range", F.shiftrightunsigned("h", 64 - ranges.bit_length() + 1).cast("int"))
@@ -174,12 +181,17 @@ def candidates(firsts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
         k, none = int(hot.sum()), lambda m: np.zeros(m, np.int64)
         both = lambda x, y: pa.array(np.concatenate((x, y)))
         return pa.table({
-            "a": both(pairs[:, 0], none(k)), "b": both(pairs[:, 1], none(k)), "h": both(none(len(pairs)), h[hot]), "set": both(none(len(pairs)), sets[hot]),
+            "a": both(pairs[:, 0], none(k)), "b": both(pairs[:, 1], none(k)), "pivot": both(pairs[:, 2], none(k)), "h": both(none(len(pairs)), h[hot]), "set": both(none(len(pairs)), sets[hot]),
             "n": both(none(len(pairs)), n[hot].astype(np.int64)), "at": both(none(len(pairs)), at[hot].astype(np.int64)), "hot": both(none(len(pairs)), none(k) + 1),
         })
 
-    found = checkpointed(cut.groupBy("range").applyInArrow(within, "a long, b long, h long, set long, n long, at long, hot long"))
-    return found.where("hot = 0").select("a", "b").distinct(), found.where("hot = 1").select("h", "set", "n", "at")
+    found = checkpointed(cut.groupBy("range").applyInArrow(within, "a long, b long, pivot long, h long, set long, n long, at long, hot long"))
+    return once(found.where("hot = 0")), found.where("hot = 1").select("h", "set", "n", "at")
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, with its least pivot."""
+    return pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
 
 
 def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,12 +218,12 @@ def grouped(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
         least = named.groupBy("h").agg(F.min("x").alias("y"), F.count("*").alias("k")).where("k > 1")
         pairs = named.join(least, "h").select(F.col("x.set").alias("b"), F.col("y.set").alias("a"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
         pairs = pairs.where((F.col("a") != F.col("b")) & (9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))))
-        groups = joined_groups(groups, verified(docs, sets, groups, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        groups = joined_groups(groups, verified(docs, sets, groups, once(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("pivot")))))
     return joined_groups(groups, verified(docs, sets, groups, across(hot, groups)))
 
 
 def across(hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets of different groups that share a shingle of hot and may be alike. The sets of one
+    """Distinct pairs (a, b, pivot) of sets of different groups that share a shingle of hot and may be alike. The sets of one
     shingle are cut into blocks, and each pair of blocks is one task's."""
     rows = hot.join(groups, "set")
     many = rows.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("roots"), F.ceil(F.sum("k") / PART).cast("int").alias("c")).where("roots > 1")
@@ -222,17 +234,17 @@ def across(hot: DataFrame, groups: DataFrame) -> DataFrame:
         h, sets, n, at, root, k = rows_of(batch, ("h", "set", "n", "at", "root", "k"))
         apart = [root] if batch["i"][0].as_py() == batch["j"][0].as_py() else [root, k]
         pairs, _ = paired(h, sets, n, at, apart=apart)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "pivot": pa.array(pairs[:, 2])})
 
-    return spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, "a long, b long").distinct()
+    return once(spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, "a long, b long, pivot long"))
 
 
 def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike, of those that join different groups."""
+    """The pairs (a, b) that are alike, of those (a, b, pivot) that join different groups."""
     about = sets.join(groups, "set")
     side = lambda k: about.select(F.col("set").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("n", "odd", "t", "root")])
     left = pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b").where(9 * differing(F.col("odd_a"), F.col("odd_b")) <= F.col("n_a") + F.col("n_b"))
-    left = checkpointed(left.select("a", "b", "n_a", "n_b", "t_a", "t_b"))
+    left = checkpointed(left.select("a", "b", "pivot", "n_a", "n_b", "t_a", "t_b"))
     needed = small_or_not(left.select(F.col("t_a").alias("t")).union(left.select("t_b")).distinct())
 
     @text_udf("array<long>")
@@ -245,20 +257,15 @@ def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFra
 
 
 def compared(left: DataFrame, read: DataFrame) -> DataFrame:
-    """The pairs (a, b) of left (a, b, n_a, n_b, t_a, t_b) that are alike; read: t and its shingles s. Pairs are compared
-    by components, so that a set of many pairs is sent once; a component of more than BLOCK shingles is cut into
-    parts, and sets are sent to the pairs of parts that need them."""
-    links = left.select(F.greatest("t_a", "t_b").alias("a"), F.least("t_a", "t_b").alias("b")).where("a <> b")
-    stars = components(links)
-    root = checkpointed(stars.union(stars.select("root", "root")).distinct())
-    sized = root.join(read.select(F.col("t").alias("node"), F.size("s").alias("n")), "node")
-    parts = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("c"))
-    placed = checkpointed(root.join(parts, "root").select("node", "root", F.pmod("node", "c").alias("k")))
-    of = lambda k: placed.select(F.col("node").alias(f"t_{k}"), F.col("root"), F.col("k").alias(f"k_{k}"))
-    cut = left.join(of("a"), "t_a").join(of("b").drop("root"), "t_b")
-    cut = checkpointed(cut.select("root", F.least("k_a", "k_b").alias("i"), F.greatest("k_a", "k_b").alias("j"), "a", "b", "t_a", "t_b"))
-    block = ["root", "i", "j"]
-    sent = cut.select(*block, F.col("t_a").alias("t")).union(cut.select(*block, "t_b")).distinct().join(read, "t")
+    """The pairs (a, b) of left (a, b, pivot, n_a, n_b, t_a, t_b) that are alike; read: t and its shingles s. Pairs of one
+    pivot, as those of a group of near copies mostly are, are compared together, so that a set of many pairs is sent once;
+    a pivot of more than BLOCK shingles is cut into parts, and sets are sent to the pairs of parts that need them."""
+    ends = left.select("pivot", F.explode(F.array(*[F.struct(F.col(f"t_{k}").alias("t"), F.col(f"n_{k}").alias("n")) for k in "ab"])).alias("x")).select("pivot", "x.*")
+    parts = ends.groupBy("pivot", "t").agg(F.first("n").alias("n")).groupBy("pivot").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("c"))
+    cut = left.join(parts, "pivot").withColumn("k", F.pmod("t_a", "c")).withColumn("o", F.pmod("t_b", "c"))
+    cut = checkpointed(cut.select("pivot", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "a", "b", "t_a", "t_b"))
+    block = ["pivot", "i", "j"]
+    sent = cut.select(*block, F.explode(F.array("t_a", "t_b")).alias("t")).distinct().join(read, "t")
 
     def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         held = {t: s.values.to_numpy().view(np.uint64) for t, s in zip(sets["t"].to_pylist(), sets["s"].combine_chunks())}

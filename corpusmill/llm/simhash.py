@@ -200,13 +200,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("doc"))
     told = docs.select("doc_id", F.xxhash64("text").alias("t"), fingerprint(F.col("text")).alias("fp"), likeness.described(F.col("text")).alias("of"))
     marked = checkpointed(told.select("doc_id", "t", "fp", "of.*"))
-    by_fp = groups(marked).select("fp", "root")
-    of = checkpointed(marked.select("set", "fp").distinct().join(by_fp, "fp").select("set", "root").distinct())
-    start = checkpointed(of.groupBy("set").agg(F.min("root").alias("root")))
+    of = checkpointed(marked.select("set", "fp").distinct())
+    least = of.groupBy("set").agg(F.min("fp").alias("low"))
     # fingerprints of one set are linked, whatever the ball hashing says of them
-    same = of.join(start.withColumnRenamed("root", "low"), "set").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
-    joined = components(same).withColumnRenamed("root", "least")
-    start = checkpointed(start.join(joined, F.col("root") == F.col("node"), "left").select("set", F.coalesce("least", "root").alias("root")))
+    same = of.join(least, "set").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    roots = components(links(checkpointed(of.select("fp").distinct())).select("a", "b").union(same))
+    start = checkpointed(least.join(roots, F.col("low") == F.col("node"), "left").select("set", F.coalesce("root", "low").alias("root")))
     found = likeness.grouped(docs, marked, start)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("k")
     kept = marked.groupBy("set").agg(first).join(found, "set").groupBy("root").agg(F.min("k").alias("k")).select("k.*")

@@ -12,10 +12,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (least node of its component) for the nodes that have a link (a, b). Links fold into stars around
     least nodes; it ends when a round changes nothing."""
     edges, before = checkpointed(links.where("a <> b").select("a", "b").distinct()), None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
         edges = checkpointed(small)
