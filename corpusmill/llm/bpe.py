@@ -4,7 +4,8 @@ A text is cut by the split pattern of the rank file; the bytes of each match are
 leaves are byte positions and whose root is the leftmost pair of least rank. A merge takes point updates of the live
 neighbours, each of logarithmic cost, so that a match of n bytes costs n log n, however long it is.
 
-Nulls count as empty texts, which have no tokens and decode to no bytes. Repeated rows are encoded alike.
+Nulls count as empty texts, which have no tokens and decode to no bytes. Repeated rows are encoded alike. Long texts are
+encoded whole, block by block of matches. Empty tables give no rows; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations

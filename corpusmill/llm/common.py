@@ -21,17 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that the cluster names in
-    spark.checkpoint.dir; only where that is unset (tests), a local folder is made."""
+    spark.checkpoint.dir. Only a local session, whose executors are in the same process, may leave that unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
+        root = context.getConf().get("spark.checkpoint.dir", None)
+        if root is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def small_batches() -> None:
-    """Arrow batches of at most a thousand texts or 16 MB: documents may be long, and workers hold a batch twice."""
+    """Arrow batches of at most a thousand texts or 16 MB: documents may be long, and workers hold a batch twice. Spark has
+    these bounds for a session only, not for a function, so they are set when a plan with such a function is built."""
     conf = SparkSession.active().conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")

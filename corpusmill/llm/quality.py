@@ -6,8 +6,10 @@ Lasso logistic regression over all rules leaves few of them with a weight. These
 expression, which scores all documents inside the JVM.
 
 Only text is looked at: never labels, lang, source or doc_id of the row scored. Null texts count as empty, all of whose
-statistics are 0, and get a score like any other. Repeated rows score alike. Without labels of both classes, every
-score is the share of the one that exists, 0.5 if there is none.
+statistics are 0, and get a score like any other; long texts are measured whole. Repeated rows score alike, whatever
+columns they have besides doc_id and text. A doc_id with both labels counts as good; of splits that are as good as each
+other the first is taken. Without labels of both classes, every score is near the one that exists, and 0.5 if there is
+none, as for empty tables, which give no rows.
 """
 
 from __future__ import annotations
