@@ -19,11 +19,15 @@ def normalized(text: str) -> str:
 def normalized_with_map(text: str) -> tuple[str, list[int]] | None:
     """The normalised text and for each of its characters the place it comes from; None where normalising single
     characters gives something else than normalising the whole."""
+    forms: dict[str, str] = {}
     out, places = [], []
     for i, c in enumerate(text):
-        part = normalized(c)
-        out.append(part)
-        places += [i] * len(part)
+        part = forms.get(c)
+        if part is None:
+            part = forms[c] = normalized(c)
+        if part:
+            out.append(part)
+            places += (i,) * len(part)
     joined = "".join(out)
     return (joined, places) if joined == normalized(text) else None
 
@@ -80,29 +84,45 @@ def chunk_text(texts: pa.Array) -> pa.Array:
     return pa.array((chunk_paragraphs(t or "") for t in texts.to_pylist()), pa.list_(pa.string()))
 
 
-def anchored(text: str, quote: str) -> tuple[int, int] | None:
-    """Where a quote stands in a text: its only exact place, else its only place when both are normalised, else that of
-    a beginning of 48, 32 or 20 characters that occurs once."""
-    if not quote:
-        return None
-    if text.count(quote) == 1:
-        at = text.index(quote)
-        return at, at + len(quote)
-    mapped, wanted = normalized_with_map(text), normalized(quote)
-    if mapped is None or not wanted:
-        return None
-    flat, places = mapped
-    for part in (wanted, *(wanted[:n] for n in (48, 32, 20) if n < len(wanted))):
-        if flat.count(part) == 1:
-            at = flat.index(part)
-            return places[at], places[at + len(part) - 1] + 1
-    return None
+# The shortest quote that is looked for in normal form, and how long the beginnings are that stand for one.
+SHORTEST, BEGINNINGS = 12, (48, 32, 20)
 
 
-@F.arrow_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-def anchor_quote(texts: pa.Array, quotes: pa.Array) -> pa.Array:
-    found = [anchored(t or "", q or "") for t, q in zip(texts.to_pylist(), quotes.to_pylist())]
-    return pa.StructArray.from_arrays([pa.array([f and f[i] for f in found], pa.int32()) for i in (0, 1)], ["start", "stop"])
+def only_place(text: str, part: str) -> int | None:
+    """Where a part stands in a text, if it does so just once."""
+    at = text.find(part)
+    return at if at >= 0 and text.find(part, at + 1) < 0 else None
+
+
+def anchors(text: str, quotes: list[str | None]) -> list[tuple[str, int, int] | None]:
+    """How and where each quote stands in a text: as it is, in normal form, or by a beginning in normal form; None for one
+    that doesn't or that does more than once. The text is brought into normal form once, if at all."""
+    mapped: tuple[str, list[int]] | None = None
+    tried, out = False, []
+    for quote in quotes:
+        found = None
+        if quote and (at := only_place(text, quote)) is not None:
+            found = ("exact", at, at + len(quote))
+        elif quote and quote not in text:
+            if not tried:
+                mapped, tried = normalized_with_map(text), True
+            wanted = normalized(quote)
+            if mapped and len(wanted) >= SHORTEST:
+                flat, places = mapped
+                for part in (wanted, *(wanted[:n] for n in BEGINNINGS if n < len(wanted))):
+                    if (at := only_place(flat, part)) is not None:
+                        found = ("normalized" if part is wanted else "prefix", places[at], places[at + len(part) - 1] + 1)
+                        break
+        out.append(found)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tier", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+def anchor_quotes(texts: pa.Array, quotes: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("tier", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    none = {"tier": None, "start": None, "stop": None}
+    rows = ([dict(zip(none, f)) if f else none for f in anchors(t or "", q or [])] for t, q in zip(texts.to_pylist(), quotes.to_pylist()))
+    return pa.array(rows, kind)
 
 
 # CJK characters between which a gap closes, those that the token estimate counts, garbled ones.
@@ -163,5 +183,5 @@ def token_estimate(text: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Makes the Python functions callable from SQL."""
-    for f in (norm_for_match, chunk_text, anchor_quote):
+    for f in (norm_for_match, chunk_text, anchor_quotes):
         spark.udf.register(f.__name__, f)

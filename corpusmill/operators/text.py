@@ -343,10 +343,3 @@ SELECT o_orderkey, metric, value FROM (UNPIVOT (SELECT o_orderkey, CAST(o_totalp
 def map_unpivot(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
     return rows.select("o_orderkey", F.explode(F.create_map(F.lit("price"), F.col("o_totalprice"), F.lit("customer"), F.col("c"))).alias("metric", "value"))
-
-
-@query()
-def quote_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """Where the last line of each text, in capitals, is found in the text again."""
-    rows = load(spark, d, "documents").select("doc_id", "text", F.upper(F.element_at(F.split("text", "\n"), -1)).alias("quote"))
-    return rows.select("doc_id", textfns.anchor_quote("text", "quote").alias("at")).select("doc_id", "at.start", "at.stop")

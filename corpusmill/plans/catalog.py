@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.operators import aggregates, coverage, evaluation, joins, lifecycle, mutations, normalise, relational, reports, retrieval, scalars, selection, series, signals, text, usage, windows
+from corpusmill.operators import aggregates, coverage, evaluation, files, ingest, joins, lifecycle, mutations, normalise, planning, relational, reports, retrieval, scalars, selection, series, signals, text, usage, windows
 from corpusmill.streaming import streams
 
 from . import registry
 
 #: Modules whose import enters their queries.
-MODULES = (relational, joins, aggregates, windows, text, scalars, normalise, retrieval, selection, signals, coverage, usage, series, evaluation, lifecycle, mutations, reports, streams)
+MODULES = (relational, joins, aggregates, windows, text, ingest, scalars, normalise, retrieval, selection, signals, coverage, usage, series, evaluation, lifecycle, mutations, reports, planning, files, streams)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -41,11 +41,12 @@ def test_chunks_overlap_in_prose_only():
     assert textfns.chunk_paragraphs("| h |\n|---|") == ["| h |\n|---|"] and textfns.chunk_paragraphs(" \n\n ") == []
 
 
-def test_anchor_prefers_the_only_place():
-    assert textfns.anchored("one two three", "two") == (4, 7)
-    assert textfns.anchored("One  Two three", "one two") == (0, 8)
-    assert textfns.anchored("aa aa", "aa") is None
-    assert textfns.anchored("abc", "") is None
+def test_anchors():
+    text = "One two three.  Four FIVE six seven.\nAgain and again, again and again."
+    got = textfns.anchors(text, ["two", "ONE  TWO three. four", "again", "Four five six seven. AGAIN nothing of this", "", None, "nowhere to be found"])
+    assert got == [("exact", 4, 7), ("normalized", 0, 20), None, ("prefix", 16, 41), None, None, None]
+    assert text[16:41] == "Four FIVE six seven.\nAgai"[:25]
+    assert textfns.anchors("", ["a"]) == [None] and textfns.anchors("aaa", ["aa"]) == [None]
 
 
 def test_column_functions(spark):
