@@ -8,8 +8,8 @@ that holds most of the content, as long as what stays outside is little and not
 
 What elements are called only weighs in. Being in a menu, footer, aside, form or the like, by tag, role or class, divides
 a line's ratio and weight by HINT. Inside the region all lines stay, short ones too, but those of such elements, unless the element
-holds most of the content itself (a form around the whole page, say); one whose name tells little (WEAK) goes only if most of
-its text fell into the lower cluster. Scripts, styles and other elements without readable text give no lines at all.
+holds most of the content itself (a form around the whole page, say; a menu or footer never does); one whose name tells
+little (WEAK) goes only if its own ratio is below the threshold. Scripts, styles and other elements without readable text give no lines at all.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one line feed. A
 null or empty page, and one without any text outside such parts, has an empty text. A tag that the end of the page
@@ -36,7 +36,9 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul br".split()
 )
 SILENT = frozenset("script style noscript template head title button select textarea iframe svg object canvas".split())
-APART = frozenset("nav footer aside form dialog menu".split())
+APART = frozenset("aside form".split())
+#: Elements that are never the main text, nor around it.
+NEVER = frozenset("nav footer dialog menu".split())
 #: Elements that a region may be; the others hold running text of the element around them.
 PLACES = frozenset("html body main article section div center td tr tbody table form aside fieldset details header footer nav dialog menu".split())
 #: Elements that end an open one of the same kind.
@@ -62,7 +64,7 @@ HINT = 10.0
 #: Code points fed at a time.
 FEED = 1 << 16
 #: What an element's name says of it.
-NONE, MAYBE, SURE, MUTE = range(4)
+NONE, MAYBE, SURE, ALWAYS, MUTE = range(5)
 
 
 class Lines(HTMLParser):
@@ -94,7 +96,9 @@ class Lines(HTMLParser):
         if tag in ("html", "body"):
             return NONE
         names = set(WORDS.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")))) - (TITLES if within else frozenset())
-        if tag in APART or tag == "header" and not within or names & ASIDE:
+        if tag in NEVER or tag == "header" and not within:
+            return ALWAYS
+        if tag in APART or names & ASIDE:
             return SURE
         return MAYBE if names & WEAK else NONE
 
@@ -149,14 +153,14 @@ class Lines(HTMLParser):
             self.pieces.append(data)
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines belong to the upper cluster of smoothed ratios; all of them if none stands out."""
+def content_lines(ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which lines belong to the upper cluster of smoothed ratios, all of them if none stands out; and the threshold."""
     at = np.arange(-REACH, REACH + 1)
     kernel = np.exp(-(at**2) / (2 * SIGMA**2))
     weight = np.convolve(np.ones(len(ratios)), kernel)[REACH : REACH + len(ratios)]
     smooth = np.convolve(ratios, kernel)[REACH : REACH + len(ratios)] / weight
     upper = smooth >= smooth.std()
-    return upper if upper.any() else np.ones(len(ratios), bool)
+    return (upper if upper.any() else np.ones(len(ratios), bool)), float(smooth.std())
 
 
 def summed(page: Lines, of_lines: np.ndarray) -> np.ndarray:
@@ -201,16 +205,16 @@ def main_text(html: str | None) -> str:
         return ""
     divisor = np.ones(len(page.tags))
     for e in range(1, len(page.tags)):
-        divisor[e] = divisor[page.parents[e]] * (HINT if page.hints[e] == SURE else 1.0)
+        divisor[e] = divisor[page.parents[e]] * (HINT if page.hints[e] in (SURE, ALWAYS) else 1.0)
     lengths = np.array([len(t) for t in page.texts])
     weights = lengths / divisor[page.homes]
-    content = content_lines(weights / np.maximum(1, page.counts))
-    held, every = summed(page, np.where(content, weights, 0.0)), summed(page, weights)
+    content, threshold = content_lines(weights / np.maximum(1, page.counts))
+    held, every, tags = summed(page, np.where(content, weights, 0.0)), summed(page, weights), summed(page, np.array(page.counts))
     gone, within = [False] * len(page.tags), [False] * len(page.tags)
     within[region(page, held)] = True
     for e in range(1, len(page.tags)):
-        apart = page.hints[e] == SURE or page.hints[e] == MAYBE and 2 * held[e] < every[e]
-        gone[e] = gone[page.parents[e]] or apart and 2 * held[e] <= held[0]
+        thin = page.hints[e] == MAYBE and every[e] < threshold * tags[e]
+        gone[e] = gone[page.parents[e]] or page.hints[e] == ALWAYS or (thin or page.hints[e] == SURE) and 2 * held[e] <= held[0]
         within[e] = within[e] or within[page.parents[e]]
     return "\n".join(t for t, e in zip(page.texts, page.homes) if within[e] and not gone[e])
 
