@@ -59,7 +59,7 @@ def likeness(a: Column, b: Column) -> Column:
 def alike_for(a: Column, b: Column) -> Column:
     """How many elements two arrays have in common at their beginning."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))  # past the shorter one's end there is null, which no hash equals
-    return F.coalesce(F.array_position(same, False) - 1, F.size(same).cast("long"))
+    return F.transform(F.array(F.array_position(same, False)), lambda at: F.when(at > 0, at - 1).otherwise(F.size(same).cast("long")))[0]
 
 
 def edit(old: Column, new: Column) -> Column:
