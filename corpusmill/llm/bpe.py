@@ -91,7 +91,7 @@ class Encoder(dict):
     """Maps a match of PIECE to its token ids as 32-bit integers in bytes. It remembers at most twice `room` matches, in
     two generations, of which the older goes when the younger is full; that bounds memory and nothing else."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 150_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.room = room
