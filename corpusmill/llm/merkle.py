@@ -101,14 +101,24 @@ def with_next(docs: DataFrame, payload: list[str], rows: int = ROWS) -> DataFram
         bounds = sorted({tuple(least), *((bool(r[0]), int(r[1]), int(r[2])) for r in picked.itertuples(index=False))})
     load, inside = F.struct(*payload), docs.withColumn("_key", key)
     if len(bounds) > 1:
-        # bucket: the last bound that is not above the key, by binary search in a constant array
-        column = lambda i, kind: F.split(F.lit(",".join(str(b[i]).lower() for b in bounds)), ",").cast(f"array<{kind}>")
-        array = F.arrays_zip(column(0, "boolean").alias("lone"), column(1, "bigint").alias("id"), column(2, "bigint").alias("h"))
+        # bucket: the last bound that is not above the key, by binary search in constant arrays, one for each part of it
+        column = lambda i: F.split(F.lit(",".join(str(int(b[i])) for b in bounds)), ",").cast("array<bigint>")
+        lone, ident, digest = column(0), column(1), column(2)
         last = len(bounds) - 1
+        mine = (F.col("_key.lone").cast("long"), F.col("_key.id"), F.col("_key.h"))
+
+        def at(k: Column) -> tuple[Column, Column, Column]:
+            return F.element_at(lone, k + 1), F.element_at(ident, k + 1), F.element_at(digest, k + 1)
+
+        def not_above(k: Column) -> Column:
+            a, b, c = at(k)
+            return (a < mine[0]) | ((a == mine[0]) & ((b < mine[1]) | ((b == mine[1]) & (c <= mine[2]))))
+
         steps = [1 << k for k in reversed(range(last.bit_length()))]
-        probe = lambda lo, step: F.when((lo + step <= last) & (F.element_at(array, F.least(lo + step, F.lit(last)) + 1) <= F.col("_key")), lo + step).otherwise(lo)
+        probe = lambda lo, step: F.when((lo + step <= last) & not_above(F.least(lo + step, F.lit(last))), lo + step).otherwise(lo)
         inside = inside.withColumn("_bucket", F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe))
-        first = F.element_at(array, F.col("_bucket") + 1) == F.col("_key")
+        a, b, c = at(F.col("_bucket"))
+        first = (a == mine[0]) & (b == mine[1]) & (c == mine[2])
         here = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy"))
         before = F.struct(F.when(F.col("_bucket") == 0, F.lit(last)).otherwise(F.col("_bucket") - 1).alias("b"), F.lit(1).alias("copy"))
         inside = inside.select("*", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("_place"))
