@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.ranks import nearest_rank
+from corpusmill.plans.ranks import interpolated, nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -44,7 +44,14 @@ FROM events GROUP BY GROUPING SETS ((event_type, user_id % 5), (event_type), ())
 def grouping_sets_incident(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "events").withColumn("host", F.col("user_id") % 5)
     sets = [[F.col("event_type"), F.col("host")], [F.col("event_type")], []]
-    return rows.groupingSets(sets, F.col("event_type"), F.col("host")).agg(F.grouping("event_type").cast("int").alias("all_types"), F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"))
+    counts = rows.groupingSets(sets, F.col("event_type"), F.col("host")).agg(F.grouping("event_type").cast("int").alias("all_types"), F.count("*").alias("n"))
+    none = lambda *names: [F.lit(None).cast("string" if c == "event_type" else "long").alias(c) for c in names]
+    # medians of each set by themselves, since the whole table is one group that no task should hold
+    by_host = interpolated(rows, ["event_type", "host"], "value", {"median": 0.5})
+    by_type = interpolated(rows, ["event_type"], "value", {"median": 0.5}).select("event_type", *none("host"), "median")
+    every = interpolated(rows, [], "value", {"median": 0.5}).select(*none("event_type", "host"), "median")
+    medians = by_host.unionByName(by_type).unionByName(every).select(F.col("event_type").alias("t"), F.col("host").alias("h"), "median")
+    return counts.join(medians, F.col("event_type").eqNullSafe(F.col("t")) & F.col("host").eqNullSafe(F.col("h"))).drop("t", "h")
 
 
 @query("""
@@ -78,9 +85,9 @@ def pct_disc_latency(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id % 5 AS host, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE event_type = 'error' GROUP BY 1
 """)
 def pct_cont_mttr(spark: SparkSession, d: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9)))
-    rows = load(spark, d, "events").where("event_type = 'error'").groupBy((F.col("user_id") % 5).alias("host")).agg(F.count("*").alias("n"), p.alias("p"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
-    return rows.select("host", "n", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p90"), "most", "mean")
+    rows = load(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 5).alias("host"), "value")
+    sums = rows.groupBy("host").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    return sums.join(interpolated(rows, ["host"], "value", {"p50": 0.5, "p90": 0.9}), "host").select("host", "n", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "most", "mean")
 
 
 @query("""
@@ -89,8 +96,9 @@ FROM (SELECT p_brand, l_extendedprice / l_quantity AS u FROM lineitem JOIN part
 """)
 def quartiles_target(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
-    q = rows.groupBy("p_brand").agg(F.min("u").alias("low"), F.percentile("u", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("u").alias("high"))
-    return q.select("p_brand", "low", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)], "high")
+    ends = rows.groupBy("p_brand").agg(F.min("u").alias("low"), F.max("u").alias("high"))
+    q = interpolated(rows, ["p_brand"], "u", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return ends.join(q, "p_brand").select("p_brand", "low", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in (1, 2, 3)], "high")
 
 
 @query("SELECT o_custkey % 100 AS bucket, CAST(floor(quantile_cont(3 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 0.5) + 0.5) AS INTEGER) AS median FROM orders GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.ranks import nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -149,11 +150,9 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(DISTINCT md5(text)) AS kinds, quantile_disc(n_chars, 0.5) AS median, max(n_chars) AS most FROM documents GROUP BY 1, 2")
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").groupBy("lang", "source")
-    return rows.agg(
-        F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("kinds"),
-        F.expr("percentile_disc(0.5) within group (order by n_chars)").cast("long").alias("median"), F.max("n_chars").alias("most"),
-    )
+    docs = load(spark, d, "documents").select("lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("h"))
+    sums = docs.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.countDistinct("h").alias("kinds"), F.max("n_chars").alias("most"))
+    return sums.join(nearest_rank(docs, ["lang", "source"], "n_chars", {"median": 0.5}), ["lang", "source"])
 
 
 @query("SELECT doc_id, c.n = 1 AS consistent FROM documents JOIN (SELECT text, count(DISTINCT lang) AS n FROM documents GROUP BY 1) c USING (text)")

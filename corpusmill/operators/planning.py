@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import textfns
+from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -167,17 +168,9 @@ SELECT host, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(qu
 def value_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Interpolated quantiles from counted values: no group holds its rows, only running counts of its different values."""
     rows = load(spark, d, "events").select((F.col("user_id") % 5).alias("host"), "value")
-    counts = rows.groupBy("host", "value").agg(F.count("*").alias("k"))
-    of = Window.partitionBy("host")
-    upto = counts.withColumn("upto", F.sum("k").over(of.orderBy("value"))).withColumn("total", F.sum("k").over(of))
     shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    place = lambda p: (F.col("total") - 1) * p
-    at = lambda x: F.min(F.when(F.col("upto") >= F.floor(x) + 1, F.col("value")))
-    ends = [c for name, p in shares.items() for c in (at(place(p)).alias(f"{name}_low"), at(F.ceil(place(p))).alias(f"{name}_high"))]
-    got = upto.groupBy("host").agg(F.max("total").alias("n"), *ends, F.max("value").alias("most"), (F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("m"))
-    part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
-    cols = [F.round(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(p), 6).alias(name) for name, p in shares.items()]
-    return got.select("host", "n", *cols, "most", F.round("m", 6).alias("mean"))
+    sums = rows.groupBy("host").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    return sums.join(interpolated(rows, ["host"], "value", shares), "host").select("host", "n", *[F.round(p, 6).alias(p) for p in shares], "most", "mean")
 
 
 @query("""

@@ -111,12 +111,17 @@ def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", F.md5(F.regexp_replace("text", "(?i)(the|and)", "<b>$1</b>").cast("binary")).alias("digest"))
 
 
-@query("SELECT source, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source")
+@query("""
+WITH parts AS (SELECT source, doc_id // 1000 AS part, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT source, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM parts GROUP BY source
+""")
 def source_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One digest of a source's texts in order: 32 characters for each document are what a group holds."""
-    rows = load(spark, d, "documents").select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h")).groupBy("source")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "")
-    return rows.agg(F.sha2(joined.cast("binary"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """One digest of a source's texts in order: of the digests of its parts, each a thousand ids wide, so that a group holds
+    a part's digests or the parts', never all of a source."""
+    rows = load(spark, d, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 1000).alias("part"), F.md5(F.col("text").cast("binary")).alias("h"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    parts = rows.groupBy("source", "part").agg(joined("doc_id").alias("h"), F.count("*").alias("n"))
+    return parts.groupBy("source").agg(joined("part").alias("fingerprint"), F.sum("n").alias("n"))
 
 
 @query("""

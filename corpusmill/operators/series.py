@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -137,9 +138,9 @@ SELECT host, count(*) AS minutes, round(quantile_cont(total, 0.95), 4) AS p95, m
 def resource_report(spark: SparkSession, d: str) -> DataFrame:
     """Sum within a minute, then quantiles over minutes, also of busy ones alone."""
     minutes = load(spark, d, "events").groupBy((F.col("user_id") % 5).alias("host"), F.date_trunc("minute", "ts").alias("m")).agg(F.round(F.sum("value"), 4).alias("total"))
-    return minutes.groupBy("host").agg(
-        F.count("*").alias("minutes"), F.round(F.percentile("total", F.lit(0.95)), 4).alias("p95"), F.max("total").alias("most"), F.round(F.percentile(F.when(F.col("total") > 50, F.col("total")), F.lit(0.5)), 4).alias("active_p50")
-    )
+    counts = minutes.groupBy("host").agg(F.count("*").alias("minutes"), F.max("total").alias("most"))
+    every, busy = interpolated(minutes, ["host"], "total", {"p95": 0.95}), interpolated(minutes.where("total > 50"), ["host"], "total", {"p50": 0.5})
+    return counts.join(every, "host").join(busy, "host", "left").select("host", "minutes", F.round("p95", 4).alias("p95"), "most", F.round("p50", 4).alias("active_p50"))
 
 
 @query(EDGES + """

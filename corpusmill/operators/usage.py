@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.ranks import interpolated, nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -50,11 +51,12 @@ SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS asked, count(DISTI
 """)
 def qa_daily(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
-    p = lambda q, c="": F.expr(f"percentile_disc({q}) within group (order by value) {c}")
-    return load(spark, d, "events").groupBy(local_date().alias("day")).agg(
+    rows = load(spark, d, "events").withColumn("day", local_date())
+    counts = rows.groupBy("day").agg(
         F.count("*").alias("asked"), F.countDistinct("user_id").alias("users"), F.count_if(kind == "error").alias("failed"), F.count_if(F.col("value") > 90).alias("slow"),
-        p(0.5).alias("p50"), p(0.95, "filter (where event_type <> 'error')").alias("p95"), F.round(F.avg(F.when(kind == "view", F.col("value"))), 6).alias("view_mean"), F.max("value").alias("most"),
+        F.round(F.avg(F.when(kind == "view", F.col("value"))), 6).alias("view_mean"), F.max("value").alias("most"),
     )
+    return counts.join(nearest_rank(rows, ["day"], "value", {"p50": 0.5}), "day", "left").join(nearest_rank(rows.where("event_type <> 'error'"), ["day"], "value", {"p95": 0.95}), "day", "left")
 
 
 @query("""
@@ -152,9 +154,10 @@ FROM (SELECT user_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS a
 """)
 def citation_ages(spark: SparkSession, d: str) -> DataFrame:
     age = F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts"))
-    p = F.percentile("age", F.array(F.lit(0.5), F.lit(0.9)))
-    rows = load(spark, d, "events").select((F.col("user_id") % 10).alias("team"), age.alias("age")).groupBy("team").agg(p.alias("p"), F.round(F.count_if(F.col("age") > 20) / F.count("*"), 6).alias("old_share"))
-    return rows.select("team", F.round(F.col("p")[0], 4).alias("median_age"), F.round(F.col("p")[1], 4).alias("p90_age"), "old_share")
+    rows = load(spark, d, "events").select((F.col("user_id") % 10).alias("team"), age.alias("age"))
+    shares = rows.groupBy("team").agg(F.round(F.count_if(F.col("age") > 20) / F.count("*"), 6).alias("old_share"))
+    ages = interpolated(rows, ["team"], "age", {"median_age": 0.5, "p90_age": 0.9})
+    return shares.join(ages, "team").select("team", F.round("median_age", 4).alias("median_age"), F.round("p90_age", 4).alias("p90_age"), "old_share")
 
 
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL SELECT CAST(date_trunc('week', ts) AS DATE), 'large', count(*) FROM events WHERE value > 95 GROUP BY 1")
