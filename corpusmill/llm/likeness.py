@@ -207,7 +207,8 @@ def grouped(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
     marked: described(text) of its rows as columns, with t, xxhash64 of the text."""
     count = marked.where("some is not null").select(F.explode("some").alias("h"), "set").distinct().groupBy("h").count().where("count >= 4")
     last = np.array([r["h"] for r in reversed(count.orderBy(F.desc("count"), "h").limit(LAST).collect())], np.int64).view(np.uint64)
-    firsts = docs.select(first_shingles(F.col("text"), last).alias("f")).select("f.set", "f.n", F.posexplode("f.first").alias("at", "h"))
+    firsts = docs.select(first_shingles(F.col("text"), last).alias("f")).select("f.*").groupBy("set").agg(F.first("n").alias("n"), F.first("first").alias("first"))  # copies once
+    firsts = firsts.select("set", "n", F.posexplode("first").alias("at", "h"))
     sets = checkpointed(marked.groupBy("set").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.min("t").alias("t")))
     pairs, hot = candidates(firsts, sets.count())
     groups = joined_groups(groups, verified(docs, sets, groups, pairs))
