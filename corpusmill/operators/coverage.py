@@ -148,3 +148,28 @@ def signal_rows(spark: SparkSession, d: str) -> DataFrame:
     told = told.select("o_orderkey", there.alias("there"), level.alias("level"), target.alias("price"))
     status = F.when(~F.col("there"), "rejected").when((F.col("level") == "unknown") | F.col("price").isNull(), "partial").otherwise("valid")
     return told.select("o_orderkey", status.alias("status"), F.when(F.col("there"), F.col("level")).alias("rating"), F.when(F.col("there"), F.col("price")).alias("target"))
+
+
+@query("""
+WITH cells AS (SELECT p_brand AS instrument, l_suppkey AS broker, o_orderdate::DATE AS day, l_returnflag AS dimension, CAST(sign(round(sum(l_discount - 0.05), 6)) AS INTEGER) AS stance FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4),
+moved AS (SELECT *, lag(stance) OVER (PARTITION BY instrument, broker, dimension ORDER BY day) AS prev FROM cells),
+net AS (SELECT instrument, dimension, count(*) AS cells, count(*) FILTER (stance > prev) AS up, count(*) FILTER (stance < prev) AS down, count(prev) AS n FROM moved GROUP BY 1, 2)
+SELECT instrument, dimension, cells, up, down, CASE WHEN n < 2 THEN 'insufficient' WHEN up + down = 0 THEN 'stable' WHEN least(up, down) >= 0.4 * (up + down) THEN 'diverging' WHEN up > down THEN 'strengthening' ELSE 'weakening' END AS label FROM net
+""")
+def thesis_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """A signal's theses, a map of stances by dimension: each dimension's stance against the broker's last one on it, and what
+    the brokers' moves add up to."""
+    lines = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    keys = [F.col("p_brand").alias("instrument"), F.col("l_suppkey").alias("broker"), F.to_date("o_orderdate").alias("day")]
+    stance = F.signum(F.round(F.sum(F.col("l_discount") - 0.05), 6)).cast("int")
+    cells = lines.groupBy(*keys, "l_returnflag").agg(stance.alias("stance"))
+    signals = cells.groupBy("instrument", "broker", "day").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "stance"))).alias("thesis"))
+    told = signals.select("instrument", "broker", "day", F.explode("thesis").alias("dimension", "stance"))
+    before = F.lag("stance").over(Window.partitionBy("instrument", "broker", "dimension").orderBy("day"))
+    moved = told.withColumn("prev", before)
+    net = moved.groupBy("instrument", "dimension").agg(
+        F.count("*").alias("cells"), F.count_if(F.col("stance") > F.col("prev")).alias("up"), F.count_if(F.col("stance") < F.col("prev")).alias("down"), F.count("prev").alias("n")
+    )
+    total = F.col("up") + F.col("down")
+    label = F.when(F.col("n") < 2, "insufficient").when(total == 0, "stable").when(F.least("up", "down") >= 0.4 * total, "diverging").when(F.col("up") > F.col("down"), "strengthening")
+    return net.select("instrument", "dimension", "cells", "up", "down", label.otherwise("weakening").alias("label"))

@@ -94,3 +94,22 @@ def result_file(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, key: load(spark, d, name).agg(F.count("*").alias("n"), F.max(key).alias("last")).select(F.lit(name).alias("name"), "n", "last")
     one("documents", "doc_id").unionByName(one("events", "event_id")).coalesce(1).write.mode("overwrite").json(path)
     return spark.read.schema("name string, n bigint, last bigint").json(path)
+
+
+@query(r"""
+SELECT problems, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, list_filter([CASE WHEN p_size % 7 = 0 THEN 'missing:title' END, CASE WHEN try_cast('2024-02-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS DATE) IS NULL THEN 'bad:date' END,
+  CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') THEN 'unknown:market' END], lambda x: x IS NOT NULL) AS problems FROM part) GROUP BY 1
+""")
+def manifest_problems(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of files as CSV, read with a schema of text and checked field by field; what is wrong with each row is told,
+    and rows are kept."""
+    path = f"{shared_folder(spark)}/manifest"
+    title = F.when(F.col("p_size") % 7 != 0, F.col("p_name"))
+    date = F.concat(F.lit("2024-02-"), F.lpad(F.col("p_size").cast("string"), 2, "0"))
+    load(spark, d, "part").select("p_partkey", title.alias("title"), date.alias("date"), F.col("p_brand").alias("market")).write.option("header", "true").csv(path)
+    rows = spark.read.option("header", "true").schema("p_partkey bigint, title string, date string, market string").csv(path)
+    known = F.col("market").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
+    wrong = F.array_compact(F.array(
+        F.when(F.col("title").isNull(), "missing:title"), F.when(F.try_to_date("date", "yyyy-MM-dd").isNull(), "bad:date"), F.when(~known, "unknown:market")
+    ))
+    return rows.groupBy(wrong.alias("problems")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
