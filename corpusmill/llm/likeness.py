@@ -121,11 +121,12 @@ def possible(n: np.ndarray, at: np.ndarray, i: np.ndarray, o: np.ndarray) -> np.
     return 9 * np.minimum(most, np.minimum(n[i], n[o])) >= 4 * (n[i] + n[o])
 
 
-def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, run: int | None = None, apart: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, run: int | None = None, apart: list[np.ndarray] | None = None, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of sets that share a shingle and may be alike, with a pivot, the least set that shares it, which names
     pairs that are best compared together; and which rows (after sorting by h, set) are of
     shingles that more than run sets hold: of those, each set is paired with the two least and with the one before it.
-    apart: only pairs that differ in all of these count. Rows are distinct and sorted."""
+    apart: only pairs that differ in all of these count; odd: parities of each row's set, by which pairs that differ too
+    much are left out at once. Rows are distinct and sorted."""
     n, at = n.astype(np.int64), at.astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.array([], np.int64)
     size = np.diff(np.append(new, len(h)))
@@ -136,6 +137,9 @@ def paired(h: np.ndarray, sets: np.ndarray, n: np.ndarray, at: np.ndarray, run:
         good = possible(n, at, i, o) & (sets[i] != sets[o])
         for kind in apart or ():
             good &= kind[i] != kind[o]
+        if odd is not None and good.any():
+            i, o = i[good], o[good]
+            good = 9 * np.bitwise_count(odd[i] ^ odd[o]).sum(axis=1, dtype=np.int64) <= n[i] + n[o]
         if good.any():
             found.append(np.stack((sets[i][good], sets[o][good], np.full(int(good.sum()), pivot)), axis=1))
 
@@ -220,21 +224,28 @@ def grouped(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
         pairs = named.join(least, "h").select(F.col("x.set").alias("b"), F.col("y.set").alias("a"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
         pairs = pairs.where((F.col("a") != F.col("b")) & (9 * F.least("n", "m") >= 4 * (F.col("n") + F.col("m"))))
         groups = joined_groups(groups, verified(docs, sets, groups, once(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("pivot")))))
-    return joined_groups(groups, verified(docs, sets, groups, across(hot, groups)))
+    return joined_groups(groups, verified(docs, sets, groups, across(hot, groups, sets)))
 
 
-def across(hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, pivot) of sets of different groups that share a shingle of hot and may be alike. The sets of one
-    shingle are cut into blocks, and each pair of blocks is one task's."""
+def folded(odd: pa.ChunkedArray) -> np.ndarray:
+    """Parities of each set folded to PARITIES buckets, a row of longs each."""
+    width = PARITIES // 64
+    return np.stack([np.bitwise_xor.reduce(x.values.to_numpy().reshape(-1, width), axis=0) for x in odd.combine_chunks()])
+
+
+def across(hot: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, pivot) of sets of different groups that share a shingle of hot and may be alike by places and
+    parities. The sets of one shingle are cut into blocks, and each pair of blocks is one task's."""
     rows = hot.join(groups, "set")
     many = rows.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("roots"), F.ceil(F.sum("k") / PART).cast("int").alias("c")).where("roots > 1")
-    spread = rows.join(many.select("h", "c"), "h").withColumn("k", F.pmod("set", "c").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    spread = spread.select("h", "set", "n", "at", "root", "k", "c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    spread = rows.join(many.select("h", "c"), "h").join(sets.select("set", "odd"), "set").withColumn("k", F.pmod("set", "c").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    spread = spread.select("h", "set", "n", "at", "root", "odd", "k", "c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
 
     def blocks(batch: pa.Table) -> pa.Table:
-        h, sets, n, at, root, k = rows_of(batch, ("h", "set", "n", "at", "root", "k"))
+        numbered = batch.append_column("row", pa.array(np.arange(batch.num_rows)))
+        h, ids, n, at, root, k, row = rows_of(numbered, ("h", "set", "n", "at", "root", "k", "row"))
         apart = [root] if batch["i"][0].as_py() == batch["j"][0].as_py() else [root, k]
-        pairs, _ = paired(h, sets, n, at, apart=apart)
+        pairs, _ = paired(h, ids, n, at, apart=apart, odd=folded(batch["odd"])[row])
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "pivot": pa.array(pairs[:, 2])})
 
     return once(spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, "a long, b long, pivot long"))
