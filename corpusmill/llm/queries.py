@@ -10,6 +10,7 @@ from .bpe import op2_byte_bpe
 from .langid import op10_language_id
 from .merkle import op3_fingerprints
 from .mixing import OP6_SQL, op6_mixing
+from .periodic import op13_periodic_runs
 from .pieces import op11_sentencepiece
 from .quality import op1_quality
 from .rules import OP4_SQL, op4_quality_rules
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality, op2_byte_bpe, op3_fingerprints, op4_quality_rules, op5_toxicity,
         op6_mixing, op7_html_text, op8_token_counts, op9_simhash, op10_language_id,
-        op11_sentencepiece,
+        op11_sentencepiece, op13_periodic_runs,
     )
 }
 SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_mixing": OP6_SQL}
