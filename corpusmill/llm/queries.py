@@ -17,6 +17,7 @@ from .rules import OP4_SQL, op4_quality_rules
 from .simhash import op9_simhash
 from .tokencount import op8_token_counts
 from .toxicity import op5_toxicity
+from .turntrie import OP12_SQL, op12_prefix_trie
 from .webtext import op7_html_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality, op2_byte_bpe, op3_fingerprints, op4_quality_rules, op5_toxicity,
         op6_mixing, op7_html_text, op8_token_counts, op9_simhash, op10_language_id,
-        op11_sentencepiece, op13_periodic_runs,
+        op11_sentencepiece, op12_prefix_trie, op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_mixing": OP6_SQL}
+SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_mixing": OP6_SQL, "op12_prefix_trie": OP12_SQL}
