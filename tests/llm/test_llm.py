@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,10 +24,11 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from corpusmill.llm import bpe, common, langid, likeness, merkle, mixing, quality, queries, rules, simhash, tokencount, toxicity, webtext
+from corpusmill.llm import bpe, common, langid, likeness, merkle, mixing, periodic, pieces, quality, queries, rules, simhash, tokencount, toxicity, turntrie, webtext
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
     None, "", " ", "\n\n", "a", "the the the", "don't  stop 'll 're x", "日本語 テキスト １２３", "🤖 a\x00b\x1cc", "x" * 3000, "ab " * 4000,
@@ -54,20 +56,23 @@ def tables_dir(spark, tmp_path_factory):
     odd_docs(spark, clashing).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(1, None, 1), (2, 0, None), (4, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, "u", None), (2, None, "<p>a"), (2, None, "<p>a")], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    turns = [(100, None, "user", None), (100, 1, None, "b"), (100, 1, None, "b"), (101, 0, "user", "x"), (None, 0, "user", "x")]
+    spark.createDataFrame(turns, CONVERSATIONS).selectExpr("*", "1 AS block", "'x' AS digest", "2 AS chars").write.parquet(f"{root}/conversations.parquet")
     return str(root)
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("conversations", CONVERSATIONS)):
         spark.createDataFrame([], schema).write.parquet(f"{root}/{name}.parquet")
     return str(root)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_odd_and_empty_tables(spark, tables_dir, empty_dir, name):
-    n = 3 if name.startswith("op7") else len(ODD) + 3
+    trie = len(brute_trie([(100, None, "user", None), (100, 1, None, "b"), (100, 1, None, "b"), (101, 0, "user", "x")]))
+    n = {"op7_html_text": 3, "op12_prefix_trie": trie}.get(name, len(ODD) + 3)
     assert queries.QUERIES[name](spark, tables_dir).count() == n
     assert queries.QUERIES[name](spark, empty_dir).count() == 0
 
@@ -91,6 +96,9 @@ def test_odd_tables_give_defined_values(spark, tables_dir, library):
     same("op6_mixing", "size", want=lambda r: (len(WORD.findall(text_of(r))),))
     tokens = lambda r: len(hugging().encode(text_of(r), add_special_tokens=False).ids)
     same("op8_token_counts", "n_bytes", "n_tokens", "over_limit", want=lambda r: (len(text_of(r).encode()), tokens(r), tokens(r) > 512))
+    pids = lambda r: spm().encode(text_of(r))
+    same("op11_sentencepiece", "n_tokens", "ids_sha256", "decoded_sha256", want=lambda r: (len(pids(r)), digest(",".join(map(str, pids(r))).encode()), digest(spm().decode(pids(r)).encode())))
+    same("op13_periodic_runs", *PERIODIC, want=lambda r: brute_periodic(r["doc_id"], r["text"]))
     same("op9_simhash", "fingerprint", want=lambda r: (f"{brute_fingerprint(r['text']):016x}",))
     same("op3_fingerprints", "n_chars", want=lambda r: (len(text_of(r)),))
     by_text = defaultdict(set)
@@ -855,3 +863,200 @@ def test_modules_import_alone():
     for name in ("bpe", "langid", "merkle", "mixing", "quality", "rules", "simhash", "tokencount", "toxicity", "webtext"):
         importlib.import_module(f"corpusmill.llm.{name}")
     assert T is not None
+
+
+# --- 11: SentencePiece
+
+
+def spm():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+MARKED_TEXTS = st.text(alphabet=st.one_of(st.sampled_from(" ▁abthe\n\t<>/s0x41é日本🙂\u3000\xa0"), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(MARKED_TEXTS, max_size=6))
+def test_pieces_equal_library(texts):
+    table, model = pieces.pieces(pieces.MODEL), spm()
+    ids = table.encode_all(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [model.encode(t) for t in texts]
+    assert table.decode_all(ids).to_pylist() == [model.decode(i) for i in ids.to_pylist()]
+
+
+def test_long_words_runs_of_markers_and_forgetting():
+    model = spm()
+    table = pieces.Pieces(pieces.MODEL, words=3, chars=50)
+    texts = [" " * 40, " " * 17 + "the  the" + " " * 33, "the" * 3000, "日本語テキスト" * 500, "a b c d e f a b c", "x" * 49, "a b c d e f a b c"]
+    assert table.encode_all(pa.array(texts)).to_pylist() == [model.encode(t) for t in texts]
+    assert len(table.table) <= 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 31999), st.sampled_from([0, 1, 2, 259, 28705, 3 + 0xE2, 3 + 0x82, 3 + 0xAC, 3 + 0xFF, 3 + 0xC3])), max_size=8))
+def test_any_ids_decode_as_the_library_does(ids):
+    assert pieces.pieces(pieces.MODEL).decode_all(pa.array([ids, None], pa.list_(pa.int32()))).to_pylist() == [spm().decode(ids), None]
+
+
+def test_piece_query_equals_library(spark, docs):
+    model, texts = spm(), {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = queries.QUERIES["op11_sentencepiece"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = model.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(",".join(map(str, ids))), digest(model.decode(ids)))
+
+
+def test_models_with_pieces_over_markers_are_refused(monkeypatch):
+    class Crossing(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, i):
+            return "a▁b" if i == 400 else super().id_to_piece(i)
+
+    monkeypatch.setattr(pieces.sentencepiece, "SentencePieceProcessor", Crossing)
+    with pytest.raises(ValueError):
+        pieces.Pieces(pieces.MODEL)
+
+
+# --- 12: conversation trie
+
+
+def brute_trie(rows):
+    """Nodes of the trie over rebuilt conversations, straight from the contract."""
+    turns = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            turns[c].append((t is not None, t or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()[:32], role, text))
+    plain = {c: [x[3:] for x in sorted(v)] for c, v in turns.items()}
+    whole = {}
+    for c, own in plain.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = plain.get(c - int(np.fmod(c, 100)), [])[:h] + own[h:]
+    members = defaultdict(list)
+    for c, path in whole.items():
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    parents = {p[:-1] for p in members if p}
+    leaves, saved, kids = Counter(), Counter(), Counter(p[:-1] for p in members if p)
+    for p, of in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in parents
+            saved[p[:d]] += (len(of) - 1) * (len(p[-1][1]) if p else 0)
+    out = []
+    for p, of in members.items():
+        ends = ",".join(str(c) for c in sorted(of) if len(whole[c]) == len(p))
+        out.append((min(of), len(p), min(members[p[:-1]]) if p else None, len(of), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def trie_rows(df):
+    return sorted((tuple(r) for r in df.select(turntrie.COLUMNS).collect()), key=repr)
+
+
+@pytest.mark.parametrize("size, bound", [(2, 0), (3, 50_000), (2048, 50_000)])
+def test_trie_does_not_depend_on_shards(spark, size, bound):
+    r = random.Random(5)
+    rows = [
+        (c, t if r.random() > 0.05 else None, r.choice(["user", None, ""]), r.choice(["a", "bb", None]))
+        for c in r.sample(range(-300, 600), 200)
+        for t in range(r.choice([1, 1, 2, 3, 9, 12]))
+    ]
+    df = spark.createDataFrame([*rows, (None, 1, "user", "x")], CONVERSATIONS)
+    assert trie_rows(turntrie.prefix_trie(turntrie.rebuilt(df), size, bound)) == brute_trie(rows)
+
+
+def test_trie_of_many_copies_and_a_long_conversation(spark):
+    """One beginning and one whole conversation shared by most: border rows go by shards, not by conversations."""
+    rows = [(c, t, "user", f"same {t}") for c in range(300) for t in range(3)] + [(1000, t, "user", str(t)) for t in range(700)]
+    df = spark.createDataFrame(rows, CONVERSATIONS)
+    convs = turntrie.rebuilt(df)
+    assert trie_rows(turntrie.prefix_trie(convs, 16)) == brute_trie(rows)
+
+
+def test_trie_query_equals_sql_and_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = trie_rows(queries.QUERIES["op12_prefix_trie"](spark, sf))
+    assert got == sorted(con.sql(queries.SQL["op12_prefix_trie"]).fetchall(), key=repr)
+    assert got == brute_trie([tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_trie_of_plain_sequences(spark):
+    """The operator without the query's rebuilding."""
+    df = spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "a", "b"), (2, 0, "u", "a"), (2, 1, "a", "c")], CONVERSATIONS)
+    got = {(r["conv_id"], r["depth"]): (r["parent_conv_id"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"]) for r in turntrie.prefix_trie(turntrie.sequences(df)).collect()}
+    assert got == {(1, 0): (None, 2, 1, 2, 1), (1, 1): (1, 2, 2, 2, 1), (1, 2): (1, 1, 0, 1, 0), (2, 2): (1, 1, 0, 1, 0)}
+
+
+# --- 13: periodic runs
+
+PERIODIC = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def brute_runs(w):
+    """Every lag over every word, and every smaller period tried on what is found."""
+    n, out = len(w), set()
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            e = i + q
+            if i > s and e - s >= max(6, 4 * q) and not any(w[s : e - p] == w[s + p : e] for p in range(1, q)):
+                out.add((s, e - s, q))
+            i += 1
+    return sorted(out)
+
+
+def brute_periodic(doc_id, text):
+    w = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = brute_runs(w)
+    dropped = {i for s, n, q in runs for i in range(s + q, s + n)}
+    s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    kept = " ".join(x for i, x in enumerate(w) if i not in dropped)
+    return len(runs), s, n, q, 1000 * n // q if runs else None, digest("".join(f"{a},{b},{c}\n" for a, b, c in runs)), digest(kept)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.data())
+def test_runs_equal_brute_force(data):
+    w = data.draw(st.lists(st.integers(0, data.draw(st.sampled_from([0, 1, 2, 20]))), max_size=60))
+    for _ in range(data.draw(st.integers(0, 3)) if w else 0):
+        a, p, n = data.draw(st.integers(0, len(w) - 1)), data.draw(st.integers(1, 9)), data.draw(st.integers(0, 50))
+        for i in range(a + p, min(len(w), a + n)):
+            w[i] = w[i - p]
+    assert periodic.runs_of(w) == brute_runs(w)
+
+
+def test_rounds_bound_the_splitting_only(monkeypatch):
+    r = random.Random(2)
+    w = [r.randrange(3) for _ in range(400)]
+    want = periodic.runs_of(w)
+    monkeypatch.setattr(periodic, "ROUNDS", 0)
+    assert periodic.runs_of(w) == want == brute_runs(w)
+
+
+def test_long_texts_of_one_word_and_of_two(spark):
+    assert periodic.runs_of([b"a"] * 100_000) == [(0, 100_000, 1)]
+    assert periodic.runs_of([i % 3000 for i in range(20_000)]) == [(0, 20_000, 3000)]
+    nested = ([0] * 9 + [1]) * 500
+    assert periodic.runs_of(nested)[:3] == [(0, 9, 1), (0, 5000, 10), (10, 9, 1)] and len(periodic.runs_of(nested)) == 501
+
+
+def test_periodic_query_equals_brute_force(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.QUERIES["op13_periodic_runs"](spark, SF).collect()
+    assert len(rows) == len(texts) and any(r["n_runs"] for r in rows)
+    for r in rows:
+        if len(texts[r["doc_id"]] or "") < 12_000:
+            assert tuple(r[c] for c in PERIODIC) == brute_periodic(r["doc_id"], texts[r["doc_id"]])
