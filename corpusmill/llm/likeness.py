@@ -233,22 +233,40 @@ def folded(odd: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(x.values.to_numpy().reshape(-1, width), axis=0) for x in odd.combine_chunks()])
 
 
+def dealt(hot: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of hot (h, set, n, at) whose shingle has sets of several groups, with root and the task (kind, i, j) that
+    each goes to. The largest group of a shingle is cut into c blocks, its other sets, the outsiders, into b. Kind 0: a
+    block of the largest group with one of outsiders; kind 1: two blocks of outsiders. With few outsiders, each row of
+    the largest group goes once, however large it is; they go to each of its blocks."""
+    rows = hot.join(groups, "set")
+    sizes = rows.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h")
+    many = sizes.agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("big"), F.sum("k").alias("all")).where("roots > 1")
+    blocks = lambda k: F.ceil(k / PART).cast("int")
+    cuts = many.select("h", F.col("big.root").alias("big"), blocks(F.col("big.k")).alias("c"), blocks(F.col("all") - F.col("big.k")).alias("b"))
+    out = F.col("root") != F.col("big")
+    placed = rows.join(cuts, "h").withColumn("out", out).withColumn("k", F.pmod("set", F.when(out, F.col("b")).otherwise(F.col("c"))).cast("int"))
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
+    k = F.col("k")
+    inside = every("b", lambda o: task(0, k, o))
+    outside = F.concat(every("c", lambda o: task(0, o, k)), every("b", lambda o: task(1, F.least(k, o), F.greatest(k, o))))
+    return placed.withColumn("task", F.explode(F.when(F.col("out"), outside).otherwise(inside))).select("h", "set", "n", "at", "root", "out", "k", "task.*")
+
+
 def across(hot: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, pivot) of sets of different groups that share a shingle of hot and may be alike by places and
-    parities. The sets of one shingle are cut into blocks, and each pair of blocks is one task's."""
-    rows = hot.join(groups, "set")
-    many = rows.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("roots"), F.ceil(F.sum("k") / PART).cast("int").alias("c")).where("roots > 1")
-    spread = rows.join(many.select("h", "c"), "h").join(sets.select("set", "odd"), "set").withColumn("k", F.pmod("set", "c").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    spread = spread.select("h", "set", "n", "at", "root", "odd", "k", "c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    parities; a task for each pair of blocks of one shingle."""
+    spread = dealt(hot, groups).join(sets.select("set", "odd"), "set")
 
     def blocks(batch: pa.Table) -> pa.Table:
         numbered = batch.append_column("row", pa.array(np.arange(batch.num_rows)))
-        h, ids, n, at, root, k, row = rows_of(numbered, ("h", "set", "n", "at", "root", "k", "row"))
-        apart = [root] if batch["i"][0].as_py() == batch["j"][0].as_py() else [root, k]
+        h, ids, n, at, root, out, k, row = rows_of(numbered, ("h", "set", "n", "at", "root", "out", "k", "row"))
+        kind, i, j = (batch[c][0].as_py() for c in ("kind", "i", "j"))
+        apart = [out] if kind == 0 else [root] if i == j else [root, k]
         pairs, _ = paired(h, ids, n, at, apart=apart, odd=folded(batch["odd"])[row])
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "pivot": pa.array(pairs[:, 2])})
 
-    return once(spread.groupBy("h", "c", "i", "j").applyInArrow(blocks, "a long, b long, pivot long"))
+    return once(spread.groupBy("h", "kind", "i", "j").applyInArrow(blocks, "a long, b long, pivot long"))
 
 
 def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -717,6 +717,18 @@ def test_parities_bound_the_difference(spark):
         assert got <= n + m - 2 * common and (got > 0.15 * (n + m - 2 * common) or common == n)
 
 
+def test_outsiders_of_a_hot_shingle_cost_no_square(spark):
+    """One shingle of 20,000 sets of a group and five others: each pair of groups meets, in about as many rows as sets."""
+    n = 20_005
+    hot = spark.range(n).select(F.lit(7).cast("long").alias("h"), F.col("id").alias("set"), F.lit(9).alias("n"), F.lit(0).alias("at"))
+    groups = spark.range(n).select(F.col("id").alias("set"), F.when(F.col("id") < 20_000, 0).otherwise(F.col("id")).alias("root"))
+    sent = likeness.dealt(hot, groups)
+    assert sent.count() <= 2 * n
+    mixed = sent.where("kind = 0").groupBy("i", "j").agg(F.count_if("out").alias("o"), F.count_if(~F.col("out")).alias("m")).collect()
+    assert all(r["o"] == 5 for r in mixed) and sum(r["m"] for r in mixed) == 20_000 and max(r["m"] for r in mixed) < 2 * likeness.PART
+    assert [r["count"] for r in sent.where("kind = 1").groupBy("i", "j").count().collect()] == [5]
+
+
 @pytest.mark.parametrize("run", [2000, 3])
 def test_one_of_each_finds_all_near_copies(spark, monkeypatch, run):
     monkeypatch.setattr(likeness, "RUN", run)
