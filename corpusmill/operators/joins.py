@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.plans.frames import checkpointed
+from corpusmill.plans.graphs import layers
 from corpusmill.plans.registry import query
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import load
@@ -81,13 +82,37 @@ def recursive_closure(spark: SparkSession, d: str) -> DataFrame:
     return closure(dependencies(spark, d))
 
 
-@query(EDGES + ", depth AS (SELECT node, count(*) AS layer FROM reach GROUP BY 1) SELECT o_orderkey AS node, coalesce(layer, 0) AS layer FROM orders LEFT JOIN depth ON node = o_orderkey")
+#: A graph with several parents and cycles: an order needs the customer's order before (as above), each third one also the
+#: one before that; where a key is divisible by 41, the order before needs it in turn.
+GRAPH = """
+WITH RECURSIVE placed AS (SELECT o_orderkey AS node, o_orderstatus, lag(o_orderkey) OVER w AS one, lag(o_orderkey, 2) OVER w AS two FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+edges AS (SELECT node, one AS ancestor FROM placed WHERE one IS NOT NULL AND node % 4 <> 0 UNION SELECT node, two FROM placed WHERE two IS NOT NULL AND node % 3 = 0 UNION SELECT one, node FROM placed WHERE one IS NOT NULL AND node % 41 = 0),
+reach AS (SELECT node, ancestor FROM edges UNION SELECT r.node, e.ancestor FROM reach r JOIN edges e ON e.node = r.ancestor),
+cyclic AS (SELECT DISTINCT node FROM reach WHERE ancestor IN (SELECT node FROM reach WHERE node = ancestor))
+"""
+
+
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes (node, status) and the edges (node, ancestor) of GRAPH."""
+    of = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    lag = lambda k: F.lag("o_orderkey", k).over(of)
+    placed = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderstatus").alias("status"), lag(1).alias("one"), lag(2).alias("two"))
+    edge = lambda node, ancestor: F.struct(node.alias("node"), ancestor.alias("ancestor"))
+    node, one, two = F.col("node"), F.col("one"), F.col("two")
+    some = F.array(F.when(node % 4 != 0, edge(node, one)), F.when(node % 3 == 0, edge(node, two)), F.when(node % 41 == 0, edge(one, node)))
+    return placed.select("node", "status"), placed.select(F.inline(F.array_compact(some))).where("node is not null and ancestor is not null")
+
+
+@query(GRAPH + """, steps AS (SELECT node, 0 AS n FROM placed WHERE node NOT IN (SELECT node FROM edges) UNION SELECT e.node, s.n + 1 FROM steps s JOIN edges e ON e.ancestor = s.node WHERE e.node NOT IN (SELECT node FROM cyclic)),
+deep AS (SELECT node, max(n) AS layer FROM steps GROUP BY 1),
+behind AS (SELECT e.node, max(d.layer) + 1 AS layer FROM edges e JOIN deep d ON d.node = e.ancestor GROUP BY 1)
+SELECT p.node, coalesce(d.layer, b.layer, 0) AS layer, d.node IS NULL AS cyclic FROM placed p LEFT JOIN deep d USING (node) LEFT JOIN behind b USING (node)
+""")
 def dependency_layers(spark: SparkSession, d: str) -> DataFrame:
-    """The layer of each order: those that depend on nothing are 0, others one above what they depend on. As every order
-    has at most one that it depends on, that is how many it depends on in all."""
-    depth = recursive_closure(spark, d).groupBy("node").agg(F.count("*").alias("n"))
-    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"))
-    return orders.join(depth, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("layer"))
+    """The layer of each order: those that depend on nothing are 0, others one above the deepest that they depend on; those
+    on a cycle or behind one are told apart."""
+    nodes, edges = graph(spark, d)
+    return layers(nodes, edges)
 
 
 @query("""

@@ -133,17 +133,6 @@ def brand_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", F.element_at(w, 1).alias("head"), F.element_at(w, -1).alias("tail"), grams.alias("prefixes"))
 
 
-@query("""
-SELECT doc_id, arg_max(term, struct_pack(a := length(term), b := term)) AS resolved FROM (SELECT doc_id, unnest(['the', 'there', 'thing', 'der', 'derer', 'las', 'lasci']) AS term, lower(text) AS t FROM documents) WHERE contains(t, term) GROUP BY doc_id
-""")
-def longest_match(spark: SparkSession, d: str) -> DataFrame:
-    """The longest of the known names that a text contains."""
-    t = F.lower("text")
-    names = ("the", "there", "thing", "der", "derer", "las", "lasci")
-    held = F.array_compact(F.array(*[F.when(t.contains(k), F.struct(F.lit(len(k)).alias("n"), F.lit(k).alias("k"))) for k in names]))
-    return load(spark, d, "documents").select("doc_id", F.array_max(held)["k"].alias("resolved")).where("resolved is not null")
-
-
 @query(r"""
 SELECT conv_id, turn, split_part(t, '==', 1) AS body, CASE WHEN contains(t, '==') THEN split_part(t, '==', 2) END AS sources FROM (
   SELECT conv_id, turn, text || CASE WHEN turn % 2 = 1 THEN '==src ' || turn ELSE '' END AS t FROM conversations WHERE NOT contains(text, '=='))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.graphs import reached
 from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
-from .joins import EDGES, recursive_closure
+from .joins import GRAPH, graph
 
 FIVE = """
 WITH obs AS (SELECT event_id, ts, user_id % 5 AS host, event_type AS subject, value, lag(CAST(value > 50 AS INTEGER)) OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id) AS prev, CAST(value > 50 AS INTEGER) AS state FROM events),
@@ -143,15 +144,16 @@ def resource_report(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(every, "host").join(busy, "host", "left").select("host", "minutes", F.round("p95", 4).alias("p95"), "most", F.round("p50", 4).alias("active_p50"))
 
 
-@query(EDGES + """
-, down AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), hit AS (SELECT DISTINCT r.node FROM reach r JOIN down ON down.node = r.ancestor)
-SELECT o_orderkey AS node, o_orderstatus = 'F' AS is_down, hit.node IS NOT NULL AS affected, o_orderstatus = 'F' AND hit.node IS NULL AS root_cause FROM orders LEFT JOIN hit ON hit.node = o_orderkey
+@query(GRAPH + """
+, down AS (SELECT node FROM placed WHERE o_orderstatus = 'F'), hit AS (SELECT r.node, count(*) AS n FROM reach r JOIN down ON down.node = r.ancestor WHERE r.node <> r.ancestor GROUP BY 1)
+SELECT p.node, o_orderstatus = 'F' AS is_down, hit.node IS NOT NULL AS affected, o_orderstatus = 'F' AND hit.node IS NULL AS root_cause FROM placed p LEFT JOIN hit ON hit.node = p.node
 """)
 def dependency_health(spark: SparkSession, d: str) -> DataFrame:
-    """Down, affected by an ancestor that is down, or the root cause."""
-    nodes = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("is_down"))
-    down = nodes.where("is_down").select(F.col("node").alias("ancestor"))
-    hit = recursive_closure(spark, d).join(down, "ancestor").select("node").distinct().withColumn("hit", F.lit(True))
+    """Down, affected by another node upstream that is down, or the root cause: down, and nothing upstream is. On a cycle a
+    node isn't its own cause."""
+    nodes, edges = graph(spark, d)
+    nodes = nodes.select("node", (F.col("status") == "F").alias("is_down"))
+    hit = reached(nodes.where("is_down"), edges).where("low <> node or high <> node").select("node", F.lit(True).alias("hit"))
     rows = nodes.join(hit, "node", "left").select("node", "is_down", F.coalesce("hit", F.lit(False)).alias("affected"))
     return rows.withColumn("root_cause", F.col("is_down") & ~F.col("affected"))
 
