@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.plans.registry import query
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import load
+from corpusmill.sources.tail import SettledSource, SpoolSource
 from corpusmill.streaming.streams import shared_folder
 
 from .text import LINES, boilerplate
@@ -38,20 +41,46 @@ EVENT = "event_id bigint, ts string, event_type string, value double"
 
 @query("SELECT CASE WHEN event_id % 50 = 0 THEN '(rejected)' ELSE event_type END AS kind, count(*) AS n, count(*) FILTER (event_id % 2 = 1) AS second_part FROM events GROUP BY 1")
 def stream_spool(spark: SparkSession, d: str) -> DataFrame:
-    """A spool of JSON lines followed as a stream, a few files at a time; it stops, more is spooled, and it goes on where
-    its checkpoint says. Half lines are told apart and not lost."""
+    """A spool of JSON lines followed from byte to byte; it stops, more is spooled, and it goes on where its checkpoint
+    says. Lines that are no record are told apart and not lost; a line that has no end yet waits for it."""
     root = shared_folder(spark)
     lines = spooled(spark, d)
+    spark.dataSource.register(SpoolSource)
     for part in (0, 1):
         lines.where(F.col("event_id") % 2 == part).select(F.col("value")).write.mode("append").text(f"{root}/spool")
-        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 4).text(f"{root}/spool")
+        stream = spark.readStream.format("spool").option("path", f"{root}/spool").option("maxBytes", str(64 << 20)).load()
         read = stream.select(F.from_json("value", EVENT).alias("e"), F.lit(part).alias("part"))
         rows = read.select(F.coalesce(F.when(F.col("e.event_type").isNotNull() & F.col("e.value").isNotNull(), F.col("e.event_type")), F.lit("(rejected)")).alias("kind"), "part")
         write = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-        write.trigger(availableNow=True).start().awaitTermination()
+        while True:  # a run takes one budget
+            run = write.trigger(availableNow=True).start()
+            run.awaitTermination()
+            if not any(p["numInputRows"] for p in run.recentProgress):
+                break
     return spark.read.schema("kind string, part int").parquet(f"{root}/out").groupBy("kind").agg(F.count("*").alias("n"), F.sum("part").cast("long").alias("second_part"))
 
 
+@query("SELECT source, count(*) AS n, 1 AS files FROM documents GROUP BY source")
+def stream_settled_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with a file for each source, followed once it has come to rest; files of another kind are left alone. How many
+    files of each source were found, however often the folder was looked at, beside the source's rows."""
+    root = shared_folder(spark)
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"))
+    docs.withColumn("of", F.col("source")).repartition("of").write.partitionBy("of").json(f"{root}/in")
+    docs.select("source").distinct().coalesce(1).write.text(f"{root}/in/notes")
+    time.sleep(1)
+    spark.dataSource.register(SettledSource)
+    stream = spark.readStream.format("settled").option("path", f"{root}/in").option("suffixes", ".json").option("settleSeconds", "0.5").load()
+    for _ in range(2):  # the second finds nothing new
+        stream.writeStream.format("parquet").option("path", f"{root}/found").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("path string, modified timestamp, size bigint, fingerprint string").parquet(f"{root}/found")
+    name = F.regexp_extract(F.col("path"), r"/of=([^/]*)/", 1)
+    files = found.select(name.alias("of"), "fingerprint").distinct().groupBy("of").agg(F.count("*").cast("int").alias("files"))
+    rows = spark.read.schema("doc_id bigint, source string, of string").json(f"{root}/in/of=*", recursiveFileLookup=True).groupBy("source").agg(F.count("*").alias("n"))
+    back = F.when(F.col("source") != "(none)", F.col("source")).alias("source")
+    return rows.join(files, rows["source"] == files["of"]).select(back, "n", "files")
+
+
 @query("""
 SELECT kind, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT CASE WHEN event_id % 20 = 0 THEN 'capacity' WHEN event_id % 97 = 0 THEN 'meta' ELSE 'sample' END AS kind, CASE WHEN event_id % 20 <> 0 AND event_id % 97 = 0 THEN NULL ELSE value END AS value FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 5 DAY) GROUP BY 1
 """)
