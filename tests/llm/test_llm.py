@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from corpusmill.llm import bpe, common, langid, likeness, merkle, mixing, periodic, pieces, quality, queries, rules, simhash, tokencount, toxicity, turntrie, webtext
+from corpusmill.llm import bpe, common, langid, likeness, merkle, mixing, periodic, pieces, quality, queries, rules, simhash, stars, tokencount, toxicity, turntrie, webtext
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -673,7 +673,9 @@ def brute_roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(stars, "FEW", few)
     chain = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(1000, 999)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
     assert {roots[i] for i in range(1, 201)} == {0} and roots[1000] == 999
