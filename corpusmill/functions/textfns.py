@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -88,35 +90,80 @@ def chunk_text(texts: pa.Array) -> pa.Array:
 SHORTEST, BEGINNINGS = 12, (48, 32, 20)
 
 
-def only_place(text: str, part: str) -> int | None:
-    """Where a part stands in a text, if it does so just once."""
-    at = text.find(part)
-    return at if at >= 0 and text.find(part, at + 1) < 0 else None
+def places_of(text: str, parts: Iterable[str]) -> dict[str, tuple[int, int]]:
+    """Where each of parts begins first in a text, and how often it stands there, overlaps included. All are looked for at
+    once: one pass over the text, however many they are."""
+    machine = ahocorasick.Automaton()
+    for part in parts:
+        if part:
+            machine.add_word(part, part)
+    found: dict[str, tuple[int, int]] = {}
+    if len(machine):
+        machine.make_automaton()
+        for end, part in machine.iter(text):
+            at, n = found.get(part, (end - len(part) + 1, 0))
+            found[part] = (at, n + 1)
+    return found
 
 
 def anchors(text: str, quotes: list[str | None]) -> list[tuple[str, int, int] | None]:
     """How and where each quote stands in a text: as it is, in normal form, or by a beginning in normal form; None for one
-    that doesn't or that does more than once. The text is brought into normal form once, if at all."""
-    mapped: tuple[str, list[int]] | None = None
-    tried, out = False, []
+    that doesn't or that does more than once. The text is searched twice at most: for all quotes, and in normal form for
+    those that aren't there, with their beginnings."""
+    exact = places_of(text, {q for q in quotes if q})
+    wanted = {q: normalized(q) for q in quotes if q and q not in exact}
+    forms = {q: [w, *(w[:n] for n in BEGINNINGS if n < len(w))] for q, w in wanted.items() if len(w) >= SHORTEST}
+    mapped = normalized_with_map(text) if forms else None
+    flat, places = mapped or ("", [])
+    near = places_of(flat, {f for of in forms.values() for f in of})
+    out: list[tuple[str, int, int] | None] = []
     for quote in quotes:
         found = None
-        if quote and (at := only_place(text, quote)) is not None:
-            found = ("exact", at, at + len(quote))
-        elif quote and quote not in text:
-            if not tried:
-                mapped, tried = normalized_with_map(text), True
-            wanted = normalized(quote)
-            if mapped and len(wanted) >= SHORTEST:
-                flat, places = mapped
-                for part in (wanted, *(wanted[:n] for n in BEGINNINGS if n < len(wanted))):
-                    if (at := only_place(flat, part)) is not None:
-                        found = ("normalized" if part is wanted else "prefix", places[at], places[at + len(part) - 1] + 1)
-                        break
+        if quote in exact:
+            at, n = exact[quote]
+            found = ("exact", at, at + len(quote)) if n == 1 else None
+        else:
+            for k, part in enumerate(forms.get(quote, ())):
+                if near.get(part, (0, 0))[1] == 1:
+                    at = near[part][0]
+                    found = ("prefix" if k else "normalized", places[at], places[at + len(part) - 1] + 1)
+                    break
         out.append(found)
     return out
 
 
+# What must be left of a chunk without its overlap, and how long the middle is that stands for one.
+LEFT, MIDDLE = 40, 120
+
+
+def chunk_anchors(text: str, chunks: list[str | None], overlap: int = 80) -> list[tuple[str, int, int, int] | None]:
+    """How and where each chunk stands in the text that it was cut from: (how, start, stop, place in normal form), the first
+    place if there are several. A chunk begins with the end of the one before, which the text doesn't have there, so that
+    its rest is looked for, in normal form; if that isn't there, its middle is."""
+    flats = [normalized(c) if c else "" for c in chunks]
+    mapped = normalized_with_map(text) if any(flats) else None
+    if mapped is None:
+        return [None] * len(chunks)
+    flat, places = mapped
+    rests = [c[overlap:] if len(c) > overlap + LEFT else c for c in flats]
+    middles = [c[(len(c) - MIDDLE) // 2 :][:MIDDLE] if len(c) > MIDDLE else "" for c in flats]
+    found = places_of(flat, {*rests, *middles})
+    out: list[tuple[str, int, int, int] | None] = []
+    for rest, middle in zip(rests, middles):
+        how, part = ("rest", rest) if rest in found else ("middle", middle)
+        at = found[part][0] if part in found else None
+        out.append(None if at is None else (how, places[at], places[at + len(part) - 1] + 1, at))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("how", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("start", "stop", "at")])))
+def anchor_chunks(texts: pa.Array, chunks: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("how", pa.string()), *((n, pa.int32()) for n in ("start", "stop", "at"))]))
+    none = {"how": None, "start": None, "stop": None, "at": None}
+    rows = [[dict(zip(none, f)) if f else none for f in chunk_anchors(t.as_py() or "", c.as_py() or [])] for t, c in zip(texts, chunks)]
+    return pa.array(rows, kind)
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tier", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
 def anchor_quotes(texts: pa.Array, quotes: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("tier", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))

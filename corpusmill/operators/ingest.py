@@ -39,6 +39,23 @@ def quote_anchor(spark: SparkSession, d: str) -> DataFrame:
     return anchored(quotes(spark, d)).select("doc_id", "i", "tier", F.when(F.col("tier") == "exact", F.col("start")).alias("start"))
 
 
+@query(r"""
+WITH whole AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+cut AS (SELECT doc_id, t, i, CASE WHEN length(t) <= 600 THEN t ELSE substr(t, 1 + 520 * i, 600) END AS c, CASE WHEN i > 0 THEN right(substr(t, 1 + 520 * (i - 1), 600), 80) ELSE '' END AS tail FROM (
+  SELECT doc_id, t, unnest(generate_series(0, CASE WHEN length(t) <= 600 THEN 0 ELSE CAST(ceil(length(t) / 520.0) AS BIGINT) - 1 END)) AS i FROM whole WHERE t <> '' AND NOT regexp_matches(t, '\n\s*\n') AND NOT starts_with(t, '|'))),
+flat AS (SELECT doc_id, i, regexp_replace(lower(t), '\s+', '', 'g') AS f, regexp_replace(lower(tail || c), '\s+', '', 'g') AS q FROM cut),
+probes AS (SELECT *, CASE WHEN length(q) > 120 THEN substr(q, 81) ELSE q END AS rest, CASE WHEN length(q) > 120 THEN substr(q, 1 + (length(q) - 120) // 2, 120) ELSE '' END AS middle FROM flat)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CASE WHEN contains(f, rest) THEN 'rest' WHEN middle <> '' AND contains(f, middle) THEN 'middle' END AS how,
+  CASE WHEN contains(f, rest) THEN instr(f, rest) - 1 WHEN middle <> '' AND contains(f, middle) THEN instr(f, middle) - 1 END AS at FROM probes
+""")
+def chunk_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """Where each stored chunk stands in its text: without the overlap that cutting has put before it, else by its middle. A
+    document's text and chunks travel together and are searched in one pass."""
+    rows = load(spark, d, "documents").select("doc_id", "text", textfns.chunk_text("text").alias("chunks"))
+    found = rows.select("doc_id", F.posexplode(textfns.anchor_chunks("text", "chunks")).alias("chunk_index", "x"))
+    return found.select("doc_id", "chunk_index", "x.how", "x.at")
+
+
 @query(QUOTES + "SELECT t.doc_id, md5(any_value(text)) AS sha, count(*) AS total, count(tier) AS anchored FROM tiers t GROUP BY t.doc_id")
 def reanchor_counts(spark: SparkSession, d: str) -> DataFrame:
     """A document's quotes looked up again in its present text: its digest, how many there are and how many were found."""

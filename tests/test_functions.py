@@ -130,3 +130,41 @@ def test_spool_reader_keeps_good_lines(spark, tmp_path):
 def test_sidecars_name_their_problems(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"title": "t", "market": null}')
     assert tables.sidecars(spark, str(tmp_path), {"title": "string", "market": "string"}).first()["problems"] == ["missing:market"]
+
+
+def test_all_parts_are_found_in_one_pass():
+    text = "aaaa bab ab"
+    found = textfns.places_of(text, ["aa", "ab", "bab", "", "zz", "aaaa bab ab"])
+    assert found == {"aa": (0, 3), "ab": (6, 2), "bab": (5, 1), text: (0, 1)}
+    assert textfns.places_of("", ["a"]) == {} and textfns.places_of("abc", []) == {}
+
+
+def test_four_hundred_planted_chunks_are_all_anchored():
+    """Chunks of the real chunker, of texts with paragraphs, wide characters and broken lines: the naive search finds few."""
+    import random
+
+    r = random.Random(6)
+    anchored = naive = total = 0
+    while total < 400:
+        paragraphs = [" ".join("".join(r.choice("abcde台積電報告ＡＢ") for _ in range(r.randint(2, 9))) for _ in range(r.randint(5, 200))) for _ in range(r.randint(2, 9))]
+        text = "\n\n".join(paragraphs)
+        chunks = textfns.chunk_paragraphs(text)
+        stored = [c.upper().replace(" ", "  ") if i % 3 == 0 else c for i, c in enumerate(chunks)]  # as an extraction may give them
+        places = textfns.chunk_anchors(text, stored)
+        naive += sum(c in text for c in stored)
+        for c, found in zip(stored, places):
+            alone = len(textfns.normalized(c)) > 120  # a shorter one, with its overlap, may have nothing left to look for
+            total += alone
+            if found and alone:
+                how, start, stop, at = found
+                part, whole = textfns.normalized(text[start:stop]), textfns.normalized(c)
+                assert part in whole and (how == "middle" or whole.endswith(part)) and at == len(textfns.normalized(text[:start]))
+                anchored += 1
+    assert anchored == total and naive < total / 2
+
+
+def test_chunks_that_are_not_there():
+    assert textfns.chunk_anchors("some text", ["other", "", None, "SOME  text"]) == [None, None, None, ("rest", 0, 9, 0)]
+    body = "".join(chr(0x4E00 + i) for i in range(300))
+    changed = "x" * 80 + body[80:280] + "zz"  # neither the rest nor the whole, but its middle
+    assert textfns.chunk_anchors(body, [changed])[0][0] == "middle" and textfns.chunk_anchors("", ["a"]) == [None]
