@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -87,7 +88,8 @@ def instrument_overview(spark: SparkSession, d: str) -> DataFrame:
     signals = base_signals(spark, d)
     latest = latest_per_broker(signals)
     rated = latest.groupBy("instrument").agg(F.count("*").alias("brokers"), median_rating(F.col("rating")).alias("median_rating"))
-    money = latest.groupBy("instrument", "currency").agg(F.count("*").alias("k"), F.round(F.percentile("target", F.lit(0.5)), 6).alias("median_target"))
+    medians = interpolated(latest, ["instrument", "currency"], "target", {"m": 0.5}).select("instrument", "currency", F.round("m", 6).alias("median_target"))
+    money = latest.groupBy("instrument", "currency").agg(F.count("*").alias("k")).join(medians, ["instrument", "currency"], "left")
     primary = money.groupBy("instrument").agg(F.max_by(F.struct("currency", "median_target"), F.struct("k", -F.col("currency"))).alias("x")).select("instrument", "x.*")
     events = moves(signals).where("rating <> prev_rating").groupBy("instrument").agg(F.count("*").alias("e"))
     names = load(spark, d, "part").groupBy(F.col("p_brand").alias("instrument")).agg(F.min("p_name").alias("name"))

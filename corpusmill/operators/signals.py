@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.frames import checkpointed
+from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -94,11 +96,13 @@ SELECT instrument, currency, brokers, low, q1, median, q3, high FROM (
 """)
 def consensus_target(spark: SparkSession, d: str) -> DataFrame:
     """Quartiles of the targets in each instrument's primary currency, that of most brokers."""
-    q = F.percentile("target", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    by = latest_per_broker(base_signals(spark, d)).groupBy("instrument", "currency").agg(F.count("*").alias("brokers"), F.min("target").alias("low"), q.alias("q"), F.max("target").alias("high"))
+    latest = checkpointed(latest_per_broker(base_signals(spark, d)).select("instrument", "currency", "target"))
+    by = latest.groupBy("instrument", "currency").agg(F.count("*").alias("brokers"), F.min("target").alias("low"), F.max("target").alias("high"))
     first = Window.partitionBy("instrument").orderBy(F.desc("brokers"), "currency")
     rows = by.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.select("instrument", "currency", "brokers", "low", *[F.round(F.col("q")[i], 6).alias(k) for i, k in enumerate(("q1", "median", "q3"))], "high")
+    q = interpolated(latest, ["instrument", "currency"], "target", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    rows = rows.join(q, ["instrument", "currency"], "left")
+    return rows.select("instrument", "currency", "brokers", "low", *[F.round(k, 6).alias(k) for k in ("q1", "median", "q3")], "high")
 
 
 @query(CHANGES + """, net AS (
@@ -166,7 +170,9 @@ SELECT instrument, round(quantile_cont(CASE WHEN prev_target <> 0 AND prev_curre
 """)
 def median_pct_revision(spark: SparkSession, d: str) -> DataFrame:
     pct = F.when(F.col("prev_currency") == F.col("currency"), pct_change(F.col("target"), F.col("prev_target")))
-    return moves(base_signals(spark, d)).groupBy("instrument").agg(F.round(F.percentile(pct, F.lit(0.5)), 6).alias("median_pct"), F.count("prev_target").alias("n"))
+    moved = checkpointed(moves(base_signals(spark, d)).select("instrument", pct.alias("pct"), "prev_target"))
+    counts = moved.groupBy("instrument").agg(F.count("prev_target").alias("n"))
+    return counts.join(interpolated(moved, ["instrument"], "pct", {"m": 0.5}), "instrument", "left").select("instrument", F.round("m", 6).alias("median_pct"), "n")
 
 
 @query(SIGNALS + """, bounds AS (SELECT max(signal_date) - 365 AS since FROM signals),
