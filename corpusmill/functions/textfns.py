@@ -215,6 +215,33 @@ def script_language(text: Column) -> Column:
     return F.when((cjk == 0) & (latin == 0), "unknown").when(cjk >= 2 * latin, "zh").when(latin >= 2 * cjk, "en").otherwise("mixed")
 
 
+def encodes(char: str, codec: str) -> bool:
+    try:
+        char.encode(codec)
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: Characters of the simplified script alone: the national standard of the one script has them, that of the other hasn't.
+SIMPLIFIED = "".join(c for c in map(chr, range(0x4E00, 0xA000)) if encodes(c, "gb2312") and not encodes(c, "big5"))
+# How many of them, and what share of the CJK characters, make a text one of that script.
+FEWEST, SHARE = 2, 0.05
+
+
+def simplified_count(text: Column) -> Column:
+    """How many characters of the simplified script alone a text has."""
+    return F.length(text) - F.length(F.translate(text, SIMPLIFIED, ""))
+
+
+def looks_simplified(text: Column) -> Column:
+    """Whether a text is in the simplified script: by number, so that a name in it doesn't count, and by share, so that two
+    names in a long text don't."""
+    han = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    n = simplified_count(text)
+    return F.coalesce((n >= FEWEST) & (n >= SHARE * han), F.lit(False))
+
+
 def garbled_ratio(text: Column) -> Column:
     """Share of private-use and replacement characters."""
     n = F.length(text)

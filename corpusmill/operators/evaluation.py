@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.orders import order_score, tau
 from corpusmill.plans.ranks import nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
@@ -116,15 +117,16 @@ def rbo(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (length(a.text) < length(b.text)) AS concordant, count(*) FILTER (a.role = b.role) AS within FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1
+SELECT *, round((2 * concordant - pairs) / pairs, 6) AS tau FROM (
+  SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (length(a.text) < length(b.text)) AS concordant, count(*) FILTER (a.role = b.role) AS within, count(*) FILTER (a.role = b.role AND length(a.text) < length(b.text)) AS concordant_within
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1)
 """)
 def pair_concordance(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of turns in order of length, by conversation; turns fold into one array of a conversation, whose pairs are
-    counted in place instead of joined."""
-    rows = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"), "role"))).alias("t"))
-    after = lambda test: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + F.size(F.filter("t", lambda y: (y["turn"] > x["turn"]) & test(x, y))).cast("long"))
-    out = rows.select("conv_id", after(lambda x, y: F.lit(True)).alias("pairs"), after(lambda x, y: x["n"] < y["n"]).alias("concordant"), after(lambda x, y: x["role"] == y["role"]).alias("within"))
-    return out.where("pairs > 0")
+    """Pairs of turns in order of length, by conversation, all and of one role: counted while merging, n log n for n turns,
+    of which two numbers each lie in a row."""
+    rows = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("place"), F.col("role").alias("stream")))).alias("t"))
+    out = rows.select("conv_id", order_score(F.col("t")).alias("x")).select("conv_id", "x.*").where("pairs > 0")
+    return out.withColumn("tau", F.round(tau(F.col("pairs"), F.col("concordant")), 6))
 
 
 @query("""

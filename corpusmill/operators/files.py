@@ -121,7 +121,9 @@ def result_file(spark: SparkSession, d: str) -> DataFrame:
     """A small result as one JSON file, which takes the old one's place only when it is whole."""
     path = f"{shared_folder(spark)}/result"
     one = lambda name, key: load(spark, d, name).agg(F.count("*").alias("n"), F.max(key).alias("last")).select(F.lit(name).alias("name"), "n", "last")
-    one("documents", "doc_id").unionByName(one("events", "event_id")).coalesce(1).write.mode("overwrite").json(path)
+    for tables in ([("events", "event_id")], [("documents", "doc_id"), ("events", "event_id")]):  # the second replaces the first
+        rows = [one(*t) for t in tables]
+        sinks.write_result(rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1]), path)
     return spark.read.schema("name string, n bigint, last bigint").json(path)
 
 

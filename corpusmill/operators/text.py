@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import textfns
-from corpusmill.plans.frames import small_or_not
+from corpusmill.plans.frames import checkpointed
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
@@ -73,6 +73,24 @@ def lang_detect(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", textfns.script_language(F.col("text")).alias("script"))
 
 
+#: Own sentences in both scripts, a name of the one in the other, one long text with two of them.
+SCRIPTS = ["国务院发布新规定", "國務院發布新規定", "恒大集團與鴻海簽約", "会", "实际 revenue", "這份報告提到" * 20 + "恒耀与", "日本語の文章", "plain"]
+
+
+@query(rf"""
+WITH said AS (SELECT text AS raw FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT unnest({SCRIPTS!r})),
+counted AS (SELECT raw, length(raw) - length(translate(raw, '{textfns.SIMPLIFIED}', '')) AS simplified, len(regexp_extract_all(raw, '[\x{{4E00}}-\x{{9FFF}}]')) AS han FROM said)
+SELECT md5(raw) AS digest, simplified, han, simplified >= 2 AND simplified >= 0.05 * han AS looks_simplified, count(*) AS n FROM counted GROUP BY ALL
+""")
+def script_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Which script texts with CJK characters are written in."""
+    said = load(spark, d, "documents").select(F.col("text").alias("raw")).union(load(spark, d, "conversations").select("text")).union(spark.createDataFrame([(x,) for x in SCRIPTS], "raw string"))
+    raw = F.col("raw")
+    han = F.regexp_count(raw, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    told = said.select(F.md5(raw.cast("binary")).alias("digest"), textfns.simplified_count(raw).cast("long").alias("simplified"), han.cast("long").alias("han"), textfns.looks_simplified(raw).alias("looks_simplified"))
+    return told.groupBy("digest", "simplified", "han", "looks_simplified").agg(F.count("*").alias("n"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}\x{FFFD}]')) / length(text) AS garbled FROM documents")
 def garbled_ratio(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", textfns.garbled_ratio(F.col("text")).alias("garbled"))
@@ -182,11 +200,21 @@ SELECT doc_id, CASE WHEN n < 0.2 * length(text) THEN md5(text) ELSE md5(body) EN
   FROM documents d JOIN keyed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.source = l.source AND k.key = l.key GROUP BY d.doc_id, d.text)
 """)
 def boilerplate_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without their boilerplate lines, unless less than a fifth would be left. A source has at most 1 / 0.005 keys
-    for each line that its documents have on average, so that its keys come as one array and lines are dropped in place."""
-    docs = load(spark, d, "documents").select("doc_id", "source", "text")
-    keys = small_or_not(boilerplate(docs).groupBy("source").agg(F.collect_set("key").alias("keys")))
-    rows = docs.join(keys, "source", "left")
+    """Texts without their boilerplate lines, unless less than a fifth would be left."""
+    return stripped(load(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def stripped(docs: DataFrame, bound: int = 50_000) -> DataFrame:
+    """doc_id, digest, reverted of docs (doc_id, source, text) without their boilerplate lines. At most bound keys, of all
+    sources together, are broadcast, as one array for each source, and lines are dropped in place. More are joined with the
+    documents' keys, so that a document comes with those of its own lines that go."""
+    keys = checkpointed(boilerplate(docs).select("source", "key"))
+    if keys.count() <= bound:
+        rows = docs.join(F.broadcast(keys.groupBy("source").agg(F.collect_set("key").alias("keys"))), "source", "left")
+    else:
+        own = docs.select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.explode(F.array_distinct(F.array_compact(F.transform(F.split("text", "\n"), line_key)))).alias("key"))
+        gone = own.join(keys, ["source", "key"]).groupBy("source", "doc_id", "h").agg(F.collect_set("key").alias("keys"))
+        rows = docs.withColumn("h", F.md5(F.col("text").cast("binary"))).join(gone, ["source", "doc_id", "h"], "left")
     left = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("keys", line_key(x)), F.lit(False)))
     rows = rows.select("doc_id", "text", F.when(F.col("keys").isNull(), F.split("text", "\n")).otherwise(left).alias("left"))
     n = F.aggregate("left", F.lit(0), lambda a, x: a + F.length(x))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import file_system, put_in_place
+
 
 def safe_cell(value: Column) -> Column:
     """A cell that a spreadsheet takes as text: what would begin a formula is quoted."""
@@ -21,6 +25,22 @@ def export_csv(df: DataFrame, path: str, most: int, order: list[Column]) -> bool
     return truncated
 
 
+def write_result(df: DataFrame, path: str, most_bytes: int = 5_000_000) -> int:
+    """Writes a small result as one JSON file and returns its size. It is written beside path and takes its name when whole;
+    readers see the one of before until then. A result of more bytes is an error, and path stays as it was."""
+    spark = df.sparkSession
+    fresh = f"{path}-new-{uuid.uuid4().hex}"
+    df.coalesce(1).write.json(fresh)
+    files, where = file_system(spark, fresh)
+    size = files.getContentSummary(where).getLength()
+    if size > most_bytes:
+        files.delete(where, True)
+        raise ValueError(f"a result of {size} bytes, of at most {most_bytes}")
+    if not put_in_place(spark, fresh, path):
+        raise OSError(f"{path} could not be replaced")
+    return size
+
+
 def overwrite_days(df: DataFrame, path: str, day: str = "day") -> None:
     """Replaces the partitions of the days that df has, and no other."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
