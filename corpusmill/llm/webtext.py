@@ -4,12 +4,16 @@ The standard library's parser is fed a page piece by piece. Its events fill line
 line counts the code points of its text and the tags met since the line before. The ratio of text to tags is smoothed by
 a Gaussian over neighbouring lines, and lines fall into two clusters at a threshold, the standard deviation of the
 smoothed ratios; the upper one is content. The region is found by these clusters: from the root, it narrows to the child
-that holds most of the content, as long as what stays outside is little and not running text of the same element.
+that holds most of the content, as long as what stays outside is little and not running text of the same element. Then
+it widens again: at each level above, neighbours without a telling name come to it if they are mostly content and hold
+three tenths of what it does (a second section, another cell), and, if it has no heading, what leads up to it from the
+heading before it.
 
-What elements are called only weighs in. Being in a menu, footer, aside, form or the like, by tag, role or class, divides
-a line's ratio and weight by HINT. Inside the region all lines stay, short ones too, but those of such elements, unless the element
-holds most of the content itself (a form around the whole page, say; a menu or footer never does); one whose name tells
-little (WEAK) goes only if its own ratio is below the threshold. Scripts, styles and other elements without readable text give no lines at all.
+Names weigh in. Being in a menu, footer, aside, form or the like, by tag, role or a whole word of its class, divides a
+line's ratio and weight by HINT. Inside the region all lines stay, short ones too, but those of such elements, unless the
+element holds most of the content itself (a form around the whole page, say; a menu or footer never does). One whose
+name tells little (WEAK, or a compound such as "ad-hoc" of which a part is telling) goes only if its own ratio is below
+the threshold. Scripts, styles and other elements without readable text give no lines at all.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one line feed. A
 null or empty page, and one without any text outside such parts, has an empty text. A tag that the end of the page
@@ -52,8 +56,12 @@ ASIDE = frozenset(
 WEAK = frozenset(
     "alert aside banner form header login overlay pager recommended related replies reply respond search share sharing signup skip social teaser topbar toolbar widget widgets".split()
 )
+TELLING = ASIDE | WEAK
 #: Those of them that may name a part of the article itself once inside it.
 TITLES = frozenset("header masthead banner".split())
+#: Elements that head a text, and lines that a heading of few words may have with it.
+TITLE = 3
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 WORDS = re.compile(r"[a-z]+")
 TAIL = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 GAPS = re.compile(r"\s+")
@@ -95,12 +103,16 @@ class Lines(HTMLParser):
             return MUTE
         if tag in ("html", "body"):
             return NONE
-        names = set(WORDS.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")))) - (TITLES if within else frozenset())
         if tag in NEVER or tag == "header" and not within:
             return ALWAYS
-        if tag in APART or names & ASIDE:
-            return SURE
-        return MAYBE if names & WEAK else NONE
+        told = SURE if tag in APART else NONE
+        for name in " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")).split():
+            parts = set(WORDS.findall(name)) - (TITLES if within else frozenset())
+            if parts & ASIDE and parts <= TELLING:
+                told = SURE
+            elif parts & TELLING and told == NONE:
+                told = MAYBE
+        return told
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.seen += 1
@@ -191,6 +203,36 @@ def region(page: Lines, held: np.ndarray) -> int:
     return at
 
 
+def widened(page: Lines, at: int, held: np.ndarray, every: np.ndarray, thin: np.ndarray) -> list[int]:
+    """The region at and what belongs to it around it: elements without a hint that are mostly content and hold three
+    tenths of what it does, at each level up to an article, the main element or the body; and, unless it has a heading or is an article
+    itself, the elements before it from the nearest heading on, if none of them is hinted or thin."""
+    kids: list[list[int]] = [[] for _ in page.tags]
+    lines = summed(page, np.ones(len(page.homes)))
+    headed = [tag in HEADINGS for tag in page.tags]
+    for e in range(len(page.tags) - 1, 0, -1):
+        kids[page.parents[e]].append(e)
+        headed[page.parents[e]] |= headed[e]
+    found, here, titled = [at], at, headed[at] or page.tags[at] in ("article", "main")
+    while here > 0 and page.tags[here] not in ("body", "html", "main"):
+        above = page.parents[here]
+        for e in kids[above]:
+            if e != here and page.hints[e] == NONE and 2 * held[e] >= every[e] and 10 * held[e] >= 3 * held[at] > 0:
+                found.append(e)
+        run: list[int] = []
+        for e in (e for e in kids[above] if e < here and every[e] > 0 and not titled):  # from the nearest backwards
+            if page.hints[e] != NONE or thin[e] and not (headed[e] and lines[e] <= TITLE):
+                break
+            run.append(e)
+            if headed[e]:
+                found += run
+                titled = True
+        if page.tags[above] == "article":
+            break
+        here = above
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     if not html:
@@ -210,11 +252,12 @@ def main_text(html: str | None) -> str:
     weights = lengths / divisor[page.homes]
     content, threshold = content_lines(weights / np.maximum(1, page.counts))
     held, every, tags = summed(page, np.where(content, weights, 0.0)), summed(page, weights), summed(page, np.array(page.counts))
-    gone, within = [False] * len(page.tags), [False] * len(page.tags)
-    within[region(page, held)] = True
+    gone, within, thin = [False] * len(page.tags), [False] * len(page.tags), every < threshold * tags
+    for e in widened(page, region(page, held), held, every, thin):
+        within[e] = True
     for e in range(1, len(page.tags)):
-        thin = page.hints[e] == MAYBE and every[e] < threshold * tags[e]
-        gone[e] = gone[page.parents[e]] or page.hints[e] == ALWAYS or (thin or page.hints[e] == SURE) and 2 * held[e] <= held[0]
+        told = page.hints[e] == SURE or page.hints[e] == MAYBE and thin[e]
+        gone[e] = gone[page.parents[e]] or page.hints[e] == ALWAYS or told and 2 * held[e] <= held[0]
         within[e] = within[e] or within[page.parents[e]]
     return "\n".join(t for t, e in zip(page.texts, page.homes) if within[e] and not gone[e])
 

@@ -557,6 +557,51 @@ def test_region_holds_most_of_the_content():
         assert webtext.main_text(page) == want
 
 
+def paragraphs(n, of="the text proper"):
+    return "".join(f"<p>Paragraph {i} of {of}, which goes on for quite a while here.</p>" for i in range(n))
+
+
+def shown(*parts):
+    return "\n".join(t for p in parts for t in re.findall(r"<(?:p|h1|h2|td)[^>]*>(.*?)</(?:p|h1|h2|td)>", p))
+
+
+CELL = " ".join(f"Sentence {i} of a cell that holds running text." for i in range(9))
+WIDE_PAGES = {
+    "two sections": f"<main><section>{paragraphs(9)}</section><section>{paragraphs(3, 'another section')}</section></main>",
+    "two divs": f"<div><div>{paragraphs(7)}</div><div>{paragraphs(3, 'the second part')}</div></div>",
+    "title before the body": f"<main><h1>Big title</h1><div class=body>{paragraphs(6)}</div></main>",
+    "title and lead": f"<div><div><h1>Big title</h1><p>The lead of it, a sentence that says what follows.</p></div><div>{paragraphs(8)}</div></div>",
+    "two cells": f"<table><tr><td>{CELL}</td><td>{CELL} And more of it.</td></tr></table>",
+    "two articles": f"<main><article>{paragraphs(8)}</article><article>{paragraphs(3, 'the other')}</article></main>",
+    "class names of compound words": f"<article>{paragraphs(3)}<p class='ad-hoc'>An ad hoc remark that is as long as any other line.</p><div class='menu-plan'>{paragraphs(2, 'the plan')}</div></article>",
+}
+
+
+@pytest.mark.parametrize("kind", WIDE_PAGES)
+@pytest.mark.parametrize("around", ["", "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li></ul></nav>"])
+def test_no_part_of_the_text_is_lost(kind, around):
+    page = f"<html><body>{around}{WIDE_PAGES[kind]}<footer>Foot of the site</footer></body></html>"
+    want = shown(WIDE_PAGES[kind])
+    assert webtext.main_text(page) == (want.replace("\n", " ") if "<td>" in page else want)  # a row is one block
+
+
+def test_what_stands_around_stays_out():
+    links = "".join(f"<li><a href='/{i}'>Another page {i}</a></li>" for i in range(8))
+    for beside in (f"<div><h2>Latest</h2><ul>{links}</ul></div>", "<div class='comments'><p>A reader says something that is rather long too, longer than most.</p></div>", "<div><p>One card.</p></div>"):
+        for page in (f"<body><div>{paragraphs(6)}</div>{beside}</body>", f"<body>{beside}<div>{paragraphs(6)}</div></body>", f"<body><main><div>{paragraphs(6)}</div>{beside}</main></body>"):
+            assert webtext.main_text(page) == shown(paragraphs(6)), page
+
+
+def divided(page):
+    """The page with its article as nested divs, the title outside."""
+    return re.sub(r"<article>(\s*<h1>.*?</h1>)?(.*?)</article>", r"<div>\1<div>\2</div></div>", page, flags=re.S)
+
+
+def test_articles_as_divs_give_the_same(spark):
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert np.mean([webtext.main_text(page) == webtext.main_text(divided(page)) for page in rows]) >= 0.95
+
+
 def nameless(page):
     """The page without classes, ids and the names of its elements' roles."""
     page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section|form)\b", r"<\1div", page)
