@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import textfns
 from corpusmill.plans.registry import query
+from corpusmill.plans.running import running
 from corpusmill.sources import sinks
 from corpusmill.sources.tables import load
 
@@ -31,12 +32,12 @@ pick AS (SELECT source, i, CAST(floor(i * total / 5.0) AS BIGINT) AS rn FROM (SE
 SELECT p.source, CAST(p.i AS INTEGER) AS i, r.doc_id FROM pick p JOIN ranked r ON r.source = p.source AND r.rn = p.rn
 """)
 def position_join(spark: SparkSession, d: str) -> DataFrame:
-    """Five evenly spaced documents of each source, by their place in it. Places come from one window; the picks follow
-    from the place and the source's size, so no second join by position is needed."""
-    rows = load(spark, d, "documents").select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("rn"))
-    totals = load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total"))
-    picks = totals.select("source", "total", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).where("i < total").select("source", "i", F.floor(F.col("i") * F.col("total") / 5.0).alias("rn"))
-    return picks.join(rows, ["source", "rn"]).select("source", "i", "doc_id")
+    """Five evenly spaced documents of each source, by their place in it: which picks a place is, if any, follows from it
+    and the source's size. A source that holds most documents is numbered by ranges."""
+    rows = load(spark, d, "documents").where("source is not null").select("doc_id", "source", F.lit(1).alias("one"))
+    placed = running(rows, ["source"], ["doc_id"], {"place": "one"}).withColumnRenamed("_total_place", "total")
+    at = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when((i < F.col("total")) & (F.floor(i * F.col("total") / 5.0) == F.col("place") - 1), i))
+    return placed.select("source", F.explode(F.array_compact(at)).alias("i"), "doc_id")
 
 
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import textfns
 from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
+from corpusmill.plans.running import running
 from corpusmill.sources.tables import load
 
 from .signals import CHANGES, SIGNALS, base_signals, moves
@@ -32,9 +33,8 @@ SELECT t.tier, t.doc_id, t.tokens, CASE WHEN t.tokens > 3000 THEN 'oversized' WH
 def budget_plan(spark: SparkSession, d: str) -> DataFrame:
     """Work of each tier in order until its budget of tokens or of items is full; items that are too large by themselves
     are left out before, so that they don't end it."""
-    of = Window.partitionBy("tier", "fit").orderBy("doc_id")
-    rows = todo(spark, d).withColumn("fit", F.col("tokens") <= 3000)
-    rows = rows.withColumn("k", F.row_number().over(of)).withColumn("upto", F.sum("tokens").over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = todo(spark, d).withColumn("fit", F.col("tokens") <= 3000).withColumn("one", F.lit(1))
+    rows = running(rows, ["tier", "fit"], ["doc_id"], {"k": "one", "upto": "tokens"})
     plan = F.when(~F.col("fit"), "oversized").when((F.col("upto") <= 20_000) & (F.col("k") <= 40), "planned").otherwise("later")
     return rows.select("tier", "doc_id", "tokens", plan.alias("plan"))
 

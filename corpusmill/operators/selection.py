@@ -165,7 +165,25 @@ def diverse(rows: list[dict], weight: float = WEIGHT, picks: int = PICKS, per_so
     return chosen + left[: picks - len(chosen)]
 
 
-@query()
+DIVERSE = CANDIDATES + f"""
+, items AS (SELECT r.probe, r.place, r.doc_id, r.source, CAST(floor(r.age / 30) AS INTEGER) AS month, e.v, count(*) OVER (PARTITION BY r.probe) AS n, row_number() OVER (PARTITION BY r.probe ORDER BY r.place) AS k FROM ranked r JOIN e ON e.vec_id = r.doc_id),
+alike AS (SELECT a.probe, a.k AS i, b.k AS j, list_cosine_similarity(a.v, b.v) AS s FROM items a JOIN items b ON a.probe = b.probe),
+pick AS (
+  SELECT probe, 0 AS n, CAST([] AS BIGINT[]) AS chosen FROM (SELECT DISTINCT probe FROM items)
+  UNION ALL
+  SELECT probe, n + 1, list_append(chosen, k) FROM (
+    SELECT f.*, row_number() OVER (PARTITION BY f.probe ORDER BY f.score DESC, f.k) AS first FROM (
+      SELECT p.probe, p.n, p.chosen, i.k, {WEIGHT} * (1.0 - (i.k - 1) / CAST(i.n AS DOUBLE)) - {1 - WEIGHT} * coalesce((SELECT max(a.s) FROM alike a WHERE a.probe = p.probe AND a.i = i.k AND list_contains(p.chosen, a.j)), 0) AS score
+      FROM pick p JOIN items i ON i.probe = p.probe AND NOT list_contains(p.chosen, i.k)
+      WHERE p.n < {PICKS} AND (p.n < {LEAST} OR ((SELECT count(*) FROM items x WHERE x.probe = p.probe AND list_contains(p.chosen, x.k) AND x.source = i.source) < {PER_SOURCE}
+        AND (SELECT count(*) FROM items x WHERE x.probe = p.probe AND list_contains(p.chosen, x.k) AND x.month = i.month) < {PER_MONTH}))) f) WHERE first = 1),
+ends AS (SELECT probe, arg_max(chosen, n) AS chosen FROM pick GROUP BY 1),
+filled AS (SELECT e.probe, e.chosen || (SELECT coalesce(list(k ORDER BY k), []) FROM (SELECT i.k FROM items i WHERE i.probe = e.probe AND NOT list_contains(e.chosen, i.k) ORDER BY i.k LIMIT {PICKS}))[1:{PICKS} - len(e.chosen)] AS chosen FROM ends e)
+SELECT f.probe, i.doc_id, CAST(list_position(f.chosen, i.k) AS INTEGER) AS number FROM filled f JOIN items i ON i.probe = f.probe AND list_contains(f.chosen, i.k)
+"""
+
+
+@query(DIVERSE)
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     """Diverse documents of each probe, with quotas by source and month; every group has at most NEAREST rows."""
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpointed, small_or_not
-
-#: Different values, of all groups together, up to which a group's running sum is one window.
-FEW = 200_000
+from .running import running
 
 
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, _k, _upto, _total: how often each value occurs in a group, how often it or a lesser one, and all. Equal
-    values are counted before they are ordered. More than FEW different ones, as of prices in one big group, are dealt by
-    ranges of (keys, value): each range sums up by itself and is carried on by the sums of the group's ranges before it,
-    of which there are as many as partitions."""
-    counts = checkpointed(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k")))
-    group = keys or [F.lit(0)]
-    n = counts.count()
-    if n <= FEW:
-        of = Window.partitionBy(*group)
-        return counts.withColumn("_upto", F.sum("_k").over(of.orderBy(value))).withColumn("_total", F.sum("_k").over(of))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // max(FEW, 1000)))
-    dealt = checkpointed(counts.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
-    of = Window.partitionBy(*group)
-    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_k").alias("_s"))
-    sums = sums.select(*keys, "_part", (F.sum("_s").over(of.orderBy("_part")) - F.col("_s")).alias("_before"), F.sum("_s").over(of).alias("_total"))
-    told = {c: f"_of_{i}" for i, c in enumerate(keys)}
-    sums = small_or_not(sums.withColumnRenamed("_part", "_p").withColumnsRenamed(told))
-    same = F.col("_part") == F.col("_p")
-    for c, of_c in told.items():
-        same = same & F.col(c).eqNullSafe(F.col(of_c))
-    carried = dealt.join(sums, same).drop("_p", *told.values())
-    inside = Window.partitionBy(*keys, "_part").orderBy(value)
-    return carried.withColumn("_upto", F.col("_before") + F.sum("_k").over(inside)).drop("_before", "_part")
+    values are counted before they are ordered; many different ones, as of prices in one big group, are dealt by ranges."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    return running(counts, keys, [value], {"_upto": "_k"}).withColumnRenamed("_total__upto", "_total")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
