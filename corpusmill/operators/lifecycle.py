@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import textfns
+from corpusmill.plans.frames import checkpointed
+from corpusmill.plans.ranks import nearest_rank
 from corpusmill.plans.registry import query
 from corpusmill.plans.running import running
 from corpusmill.sources import sinks
@@ -101,16 +103,24 @@ def stats_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH facts AS (SELECT p_brand AS instrument, year(l_shipdate) AS fiscal_year, l_returnflag AS period, l_suppkey AS broker, max(l_extendedprice / l_quantity / 100) AS eps FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4),
-groups AS (SELECT instrument, fiscal_year, period, count(*) AS brokers, quantile_disc(eps, 0.5) AS median, min(eps) AS low, max(eps) AS high FROM facts GROUP BY 1, 2, 3)
-SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY brokers DESC, fiscal_year DESC, period) = 1 AS is_primary FROM groups
+WITH facts AS (SELECT p_brand AS instrument, year(l_shipdate) AS fiscal_year, l_returnflag AS period, s_nationkey % 3 AS currency, l_linestatus AS unit, l_suppkey AS broker, max(l_extendedprice / l_quantity / 100) AS eps
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+groups AS (SELECT instrument, fiscal_year, period, currency, unit, count(*) AS brokers, quantile_disc(eps, 0.5) AS median, min(eps) AS low, max(eps) AS high FROM facts GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY brokers DESC, fiscal_year DESC, period, currency, unit) = 1 AS is_primary FROM groups
 """)
 def eps_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Estimates by instrument, year and period, one row of each broker; the group of most brokers is the primary one."""
-    lines = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    facts = lines.groupBy(F.col("p_brand").alias("instrument"), F.year("l_shipdate").cast("long").alias("fiscal_year"), F.col("l_returnflag").alias("period"), "l_suppkey").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("eps"))
-    groups = facts.groupBy("instrument", "fiscal_year", "period").agg(F.count("*").alias("brokers"), F.expr("percentile_disc(0.5) within group (order by eps)").alias("median"), F.min("eps").alias("low"), F.max("eps").alias("high"))
-    first = F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("brokers"), F.desc("fiscal_year"), "period"))
+    """Estimates by instrument, year, period, currency and unit, one of each broker, for only such can be compared; the
+    group of most brokers is the primary one."""
+    keys = ["instrument", "fiscal_year", "period", "currency", "unit"]
+    lines = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(load(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    named = lines.select(
+        F.col("p_brand").alias("instrument"), F.year("l_shipdate").cast("long").alias("fiscal_year"), F.col("l_returnflag").alias("period"), (F.col("s_nationkey") % 3).alias("currency"),
+        F.col("l_linestatus").alias("unit"), "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("eps"),
+    )
+    facts = checkpointed(named.groupBy(*keys, "l_suppkey").agg(F.max("eps").alias("eps")))
+    groups = facts.groupBy(*keys).agg(F.count("*").alias("brokers"), F.min("eps").alias("low"), F.max("eps").alias("high"))
+    groups = groups.join(nearest_rank(facts, keys, "eps", {"median": 0.5}), keys)
+    first = F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("brokers"), F.desc("fiscal_year"), "period", "currency", "unit"))
     return groups.withColumn("is_primary", first == 1)
 
 

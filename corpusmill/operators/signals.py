@@ -201,21 +201,45 @@ def consensus_card(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(median_rating(F.col("rating")).alias("median_rating"), F.sum(F.signum("rating")).cast("long").alias("net_rating"), F.count("*").alias("brokers"))
 
 
-@query(SIGNALS + """
-SELECT instrument, broker, signal_date, target, target / others >= 3 OR target / others <= 1.0 / 3 AS implausible FROM (
-  SELECT a.instrument, a.broker, a.signal_date, a.target, quantile_cont(b.target, 0.5) AS others FROM signals a
+NEIGHBOURS = SIGNALS + """, near AS (
+  SELECT a.instrument, a.broker, a.signal_date, a.currency, a.target, quantile_cont(b.target, 0.5) AS others, count(*) AS n FROM signals a
   JOIN signals b ON a.instrument = b.instrument AND a.broker = b.broker AND a.currency = b.currency AND a.signal_date <> b.signal_date AND abs(date_diff('day', a.signal_date, b.signal_date)) <= 45
-  GROUP BY ALL HAVING count(*) >= 2)
-""")
-def implausible_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Targets beyond three times the median of at least two neighbours within 45 days, in one currency."""
+  GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2)
+"""
+
+
+def beside_neighbours(signals: DataFrame) -> DataFrame:
+    """The signals with at least two neighbours, of one broker and currency within 45 days, and their median as others."""
     of = Window.partitionBy("instrument", "broker", "currency").orderBy("day")
-    rows = base_signals(spark, d).withColumn("day", F.datediff("signal_date", F.lit("1970-01-01").cast("date")))
+    rows = signals.withColumn("day", F.datediff("signal_date", F.lit("1970-01-01").cast("date")))
     near = F.concat(F.collect_list("target").over(of.rangeBetween(-45, -1)), F.collect_list("target").over(of.rangeBetween(1, 45)))
     s, n = F.array_sort("near"), F.size("near")
     at = lambda k: F.get(s, F.floor(k).cast("int"))
     low, high = at((n - 1) / 2), at(n / 2)
-    others = low + (high - low) * 0.5
-    rows = rows.withColumn("near", near).where(F.size("near") >= 2).withColumn("others", others)
+    return rows.withColumn("near", near).where(F.size("near") >= 2).withColumn("others", low + (high - low) * 0.5)
+
+
+@query(NEIGHBOURS + "SELECT instrument, broker, signal_date, target, target / others >= 3 OR target / others <= 1.0 / 3 AS implausible FROM near")
+def implausible_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets beyond three times the median of at least two neighbours within 45 days, in one currency."""
+    ratio = F.col("target") / F.col("others")
+    return beside_neighbours(base_signals(spark, d)).select("instrument", "broker", "signal_date", "target", ((ratio >= 3) | (ratio <= 1.0 / 3)).alias("implausible"))
+
+
+@query(NEIGHBOURS + """
+SELECT instrument, broker, signal_date, currency, target AS old_target, CAST(NULL AS DOUBLE) AS new_target, CASE WHEN rating = 0 THEN 'valid' ELSE 'rated' END AS old_status, 'partial' AS new_status,
+  'target ' || CASE WHEN target > others THEN 'above' ELSE 'below' END || ' three times the median of ' || n || ' neighbours' AS note
+FROM near JOIN signals USING (instrument, broker, signal_date, currency, target) WHERE target / others >= 3 OR target / others <= 1.0 / 3
+""")
+def repair_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What a repair of stored signals would change, and nothing else: targets that their neighbours belie are cleared, the
+    row is partial from then on, and a note says why. The old values stand beside the new ones, so that the update can ask
+    for them and pass over rows that have changed meanwhile."""
+    rows = beside_neighbours(base_signals(spark, d))
     ratio = F.col("target") / F.col("others")
-    return rows.select("instrument", "broker", "signal_date", "target", ((ratio >= 3) | (ratio <= 1.0 / 3)).alias("implausible"))
+    side = F.when(F.col("target") > F.col("others"), "above").otherwise("below")
+    note = F.concat(F.lit("target "), side, F.lit(" three times the median of "), F.size("near").cast("string"), F.lit(" neighbours"))
+    return rows.where((ratio >= 3) | (ratio <= 1.0 / 3)).select(
+        "instrument", "broker", "signal_date", "currency", F.col("target").alias("old_target"), F.lit(None).cast("double").alias("new_target"),
+        F.when(F.col("rating") == 0, "valid").otherwise("rated").alias("old_status"), F.lit("partial").alias("new_status"), note.alias("note"),
+    )
