@@ -35,10 +35,17 @@ def normalized_with_map(text: str) -> tuple[str, list[int]] | None:
 
 
 @F.arrow_udf(T.StringType())
-def norm_for_match(texts: pa.Array) -> pa.Array:
+def norm_wide(texts: pa.Array) -> pa.Array:
     return pa.array((None if t is None else normalized(t) for t in texts.to_pylist()), pa.string())
 
 
+def norm_for_match(text: Column | str) -> Column:
+    """As normalized. Texts in ASCII, which NFKC leaves alone, are not sent to Python: it gets a null in their place."""
+    t = F.col(text) if isinstance(text, str) else text
+    plain = t.rlike(r"^[\x00-\x7f]*\z")
+    return F.when(plain, F.regexp_replace(F.lower(t), r"[\t-\r\x1c- ]+", "")).otherwise(norm_wide(F.when(~plain, t)))
+
+
 #: The line under a table's head.
 RULE = re.compile(r"\|(\s*:?-{3,}:?\s*\|)+\s*")
 
@@ -257,5 +264,5 @@ def token_estimate(text: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Makes the Python functions callable from SQL."""
-    for f in (norm_for_match, chunk_text, anchor_quotes):
-        spark.udf.register(f.__name__, f)
+    for name, f in (("norm_for_match", norm_wide), ("chunk_text", chunk_text), ("anchor_quotes", anchor_quotes), ("anchor_chunks", anchor_chunks)):
+        spark.udf.register(name, f)

@@ -366,8 +366,21 @@ def explode_array(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, metric, value FROM (UNPIVOT (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS customer FROM orders) ON price, customer INTO NAME metric VALUE value)
+WITH told AS (SELECT event_id, props, json_object('Event-' || event_type, value, event_type || '_value', CASE WHEN event_type = 'error' THEN NULL ELSE value END) AS extra FROM events),
+pairs AS (SELECT event_id, unnest(json_keys(props)) AS metric, props AS j FROM told UNION ALL SELECT event_id, unnest(json_keys(extra)), extra FROM told)
+SELECT event_id, metric, CAST(json_extract(j, '$."' || metric || '"') AS DOUBLE) AS value FROM pairs WHERE regexp_matches(metric, '^[a-z][a-z0-9_.]*$') AND json_type(json_extract(j, '$."' || metric || '"')) <> 'NULL'
 """)
 def map_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
-    return rows.select("o_orderkey", F.explode(F.create_map(F.lit("price"), F.col("o_totalprice"), F.lit("customer"), F.col("c"))).alias("metric", "value"))
+    """Metrics that events carry as maps, one row each: those with a proper name and a finite value."""
+    amount = F.when(F.col("event_type") != "error", F.col("value"))
+    extra = F.create_map(F.concat(F.lit("Event-"), "event_type"), F.col("value"), F.concat("event_type", F.lit("_value")), amount)
+    rows = load(spark, d, "events").select("event_id", F.from_json("props", "map<string,double>").alias("props"), extra.alias("extra"))
+    return tall(rows.select("event_id", F.map_concat("props", "extra").alias("metrics")), "event_id", "metrics")
+
+
+def tall(rows: DataFrame, key: str, metrics: str) -> DataFrame:
+    """key, metric, value of maps of numbers. Names begin with a letter and have lower-case letters, digits, dots and
+    underscores; nulls and numbers that are not finite are passed over, each by itself."""
+    value = F.col("value")
+    named = rows.select(key, F.explode(metrics).alias("metric", "value")).where(F.col("metric").rlike(r"^[a-z][a-z0-9_.]*$"))
+    return named.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))

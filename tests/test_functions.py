@@ -168,3 +168,16 @@ def test_chunks_that_are_not_there():
     body = "".join(chr(0x4E00 + i) for i in range(300))
     changed = "x" * 80 + body[80:280] + "zz"  # neither the rest nor the whole, but its middle
     assert textfns.chunk_anchors(body, [changed])[0][0] == "middle" and textfns.chunk_anchors("", ["a"]) == [None]
+
+
+def test_plain_and_wide_texts_have_the_same_normal_form(spark):
+    texts = ["Plain  Text\t\x1c\x1fwith\ngaps", "ＷＩＤＥ　Text", "é ﬁ", "", None, "a\x85b", "A\x00B"]
+    got = {r["t"]: r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", textfns.norm_for_match("t").alias("n")).collect()}
+    assert got == {t: None if t is None else textfns.normalized(t) for t in texts}
+
+
+def test_metrics_with_bad_names_or_values_are_passed_over(spark):
+    from corpusmill.operators.text import tall
+
+    rows = spark.createDataFrame([(1, {"good": 1.0, "Bad": 2.0, "n": float("nan"), "i": float("-inf"), "none": None, "a.b_1": 3.0, "1st": 4.0}), (2, None), (3, {})], "k int, m map<string,double>")
+    assert sorted(map(tuple, tall(rows, "k", "m").collect())) == [(1, "a.b_1", 3.0), (1, "good", 1.0)]
