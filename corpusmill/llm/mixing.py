@@ -12,7 +12,8 @@ so the sample has a fixed size in words, to within half a document.
 The order is never sorted as a whole: ranks fall into bins, words are summed for each source and bin, the running sum
 over a source's bins finds the bin where its target is met, and the documents of that one bin, which the ranks keep
 small, are ordered in a second look. So a source that holds a third of all rows is no task of its own. Everything is
-built of DataFrame functions, and u comes from an MD5 digest of doc_id, so reruns agree.
+built of DataFrame functions, and u comes from an MD5 digest of doc_id, so reruns agree for rows that differ in doc_id or
+text. Of exact repeats the same number is taken on average, but which of them depends on the order in which rows are read.
 
 Null and blank texts have size 0 and are taken whole or not at all like others, for 0 words; a null source is one
 source of its own. Rows without a doc_id, and rows that repeat one, draw their u by the digest of their text too, and

@@ -10,7 +10,8 @@ text, and the heaviest entry, each damped, are normalised by length and turned i
 Entries and weights are learned from a bounded sample of labelled rows, with a short list of insults to begin with:
 an entry's weight is the logarithm of its odds to occur in toxic against clean documents, and it is kept if its
 log-likelihood ratio is more than the best of all candidates would reach by chance. Candidates are counted, tested and
-selected by Spark, none cut off before the test. The logistic weights are fit on features that leave out each row's own
+selected by Spark; those that fewer than two, or one in 400, of the sample's toxic documents hold are not tested (`least`
+in `lexicon`): a bound on the entries by the documented sample, not on the texts that are scored. The logistic weights are fit on features that leave out each row's own
 quarter of the sample, by a digest of the text, so that rare entries are not overrated and copies stay together. The
 same functions find entries and make features in the fit and in scoring.
 
