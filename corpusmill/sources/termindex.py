@@ -20,6 +20,8 @@ from corpusmill.plans.frames import checkpointed
 
 #: Chunks of a segment, about; buckets of grams; segments named in a filter at most, beyond which a join finds them.
 SEGMENT, BUCKETS, NAMED = 2048, 32, 500
+#: Chunks of a segment at most.
+MOST = 16_384
 
 
 def gram(text: str) -> int:
@@ -47,7 +49,7 @@ def postings_of(segment: pa.Table) -> pa.Table:
     for number, text in zip(segment["number"].to_pylist(), segment["norm"].to_pylist()):
         found = text_grams(text or "")
         grams.append(found)
-        numbers.append(np.full(len(found), number, np.int32))
+        numbers.append(np.full(len(found), number, np.int16))
     g, n = np.concatenate(grams), np.concatenate(numbers)
     order = np.lexsort((n, g))
     g, n = g[order], n[order]
@@ -63,10 +65,13 @@ def write_index(chunks: DataFrame, keys: list[str], text: str, path: str) -> Non
     segments = max(1, -(-rows.count() // SEGMENT))
     placed = rows.withColumn("segment", F.pmod(F.xxhash64(*keys), F.lit(segments)))
     order = Window.partitionBy("segment").orderBy(*keys, "norm")
-    numbered = placed.withColumn("number", F.row_number().over(order)).select("segment", "number", *[c for c in rows.columns if c != text or c == "norm"])
+    place = F.row_number().over(order) - 1
+    # a key that many rows repeat has them in one segment, which is cut so that numbers stay short
+    cut = placed.withColumn("_place", place).withColumn("segment", F.col("segment") * (1 << 20) + F.floor(F.col("_place") / MOST)).withColumn("number", (F.col("_place") % MOST).cast("smallint"))
+    numbered = cut.select("segment", "number", *[c for c in rows.columns if c != text or c == "norm"])
     numbered.sortWithinPartitions("segment", "number").write.parquet(f"{path}/chunks")
     kept = spark.read.parquet(f"{path}/chunks").select("segment", "number", "norm")
-    lists = kept.groupBy("segment").applyInArrow(postings_of, "gram long, segment long, numbers array<int>")
+    lists = kept.groupBy("segment").applyInArrow(postings_of, "gram long, segment long, numbers array<smallint>")
     bucketed = lists.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
     bucketed.repartition("bucket").sortWithinPartitions("bucket", "gram", "segment").write.option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket").parquet(f"{path}/postings")
 
@@ -77,7 +82,7 @@ class TermIndex:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.keys = keys
         self.chunks = spark.read.parquet(f"{path}/chunks")
-        self.postings = spark.read.schema("gram long, segment long, numbers array<int>, bucket int").parquet(f"{path}/postings")
+        self.postings = spark.read.schema("gram long, segment long, numbers array<smallint>, bucket int").parquet(f"{path}/postings")
 
     def holders(self, grams: list[int]) -> DataFrame:
         """segment, numbers: the chunks that are in the lists of all these grams."""
