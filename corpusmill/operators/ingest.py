@@ -9,13 +9,13 @@ from corpusmill.functions import textfns
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
+#: A quote counts as found if it stands in the text once: not again from its second character on either.
 QUOTES = r"""
 WITH docs AS (SELECT doc_id, text, regexp_replace(lower(text), '\s+', '', 'g') AS flat, string_split(text, chr(10)) AS lines FROM documents),
 asked AS (SELECT doc_id, text, flat, CAST(i AS INTEGER) AS i, CASE i % 3 WHEN 1 THEN lines[i] WHEN 2 THEN lower(lines[i]) ELSE lines[i] || ' and so on' END AS quote FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM docs)),
-norm AS (SELECT *, regexp_replace(lower(quote), '\s+', '', 'g') AS q, CASE WHEN quote <> '' THEN (length(text) - length(replace(text, quote, ''))) / length(quote) ELSE 0 END AS exact FROM asked),
-tiers AS (SELECT *, CASE WHEN exact = 1 THEN 'exact' WHEN exact > 1 OR length(q) < 12 THEN NULL WHEN (length(flat) - length(replace(flat, q, ''))) / length(q) = 1 THEN 'normalized'
-  WHEN length(q) > 48 AND (length(flat) - length(replace(flat, q[1:48], ''))) / 48 = 1 THEN 'prefix' WHEN length(q) > 32 AND (length(flat) - length(replace(flat, q[1:32], ''))) / 32 = 1 THEN 'prefix'
-  WHEN length(q) > 20 AND (length(flat) - length(replace(flat, q[1:20], ''))) / 20 = 1 THEN 'prefix' END AS tier FROM norm)
+norm AS (SELECT *, regexp_replace(lower(quote), '\s+', '', 'g') AS q FROM asked),
+tiers AS (SELECT *, CASE WHEN quote <> '' AND contains(text, quote) THEN CASE WHEN (contains(text, quote) AND NOT contains(substr(text, instr(text, quote) + 1), quote)) THEN 'exact' END WHEN length(q) < 12 THEN NULL WHEN (contains(flat, q) AND NOT contains(substr(flat, instr(flat, q) + 1), q)) THEN 'normalized'
+  WHEN length(q) > 48 AND (contains(flat, q[1:48]) AND NOT contains(substr(flat, instr(flat, q[1:48]) + 1), q[1:48])) THEN 'prefix' WHEN length(q) > 32 AND (contains(flat, q[1:32]) AND NOT contains(substr(flat, instr(flat, q[1:32]) + 1), q[1:32])) THEN 'prefix' WHEN length(q) > 20 AND (contains(flat, q[1:20]) AND NOT contains(substr(flat, instr(flat, q[1:20]) + 1), q[1:20])) THEN 'prefix' END AS tier FROM norm)
 """
 
 
