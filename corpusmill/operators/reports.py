@@ -147,18 +147,18 @@ def risk_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT n_name, count(*) AS users, count(*) FILTER (c_custkey % 3 = 0) AS enabled, count(*) FILTER (c_mktsegment = 'BUILDING') AS admins, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_custkey % 3 = 0) AS admins_enabled,
-  coalesce(list_sort(list(c_custkey) FILTER (c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0))[1:5], []) AS first_missing FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0 GROUP BY 1
+WITH users AS (SELECT n_name, c_custkey, c_custkey % 3 = 0 AS enabled, c_mktsegment = 'BUILDING' AS admin FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0),
+counts AS (SELECT n_name, count(*) AS users, count(*) FILTER (enabled) AS enabled, count(*) FILTER (admin) AS admins, count(*) FILTER (admin AND enabled) AS admins_enabled FROM users GROUP BY 1)
+SELECT c.*, u.c_custkey AS missing FROM counts c LEFT JOIN users u ON u.n_name = c.n_name AND u.admin AND NOT u.enabled
 """)
 def second_factor_adoption(spark: SparkSession, d: str) -> DataFrame:
-    """How many users and administrators of a nation use a second factor, and the first five of the latter that don't; how
-    many these are follows from the counts."""
+    """How many users and administrators of a nation use a second factor, beside each of the latter that doesn't: a row for
+    every one of them, and one without for a nation where all do, so that none is left out and no row grows."""
     on, admin = F.col("c_custkey") % 3 == 0, F.col("c_mktsegment") == "BUILDING"
-    rows = load(spark, d, "customer").where("c_acctbal > 0").join(load(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = load(spark, d, "customer").where("c_acctbal > 0").join(F.broadcast(load(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     counts = rows.groupBy("n_name").agg(F.count("*").alias("users"), F.count_if(on).alias("enabled"), F.count_if(admin).alias("admins"), F.count_if(admin & on).alias("admins_enabled"))
-    place = F.row_number().over(Window.partitionBy("n_name").orderBy("c_custkey"))  # limited before it is shuffled
-    some = rows.where(admin & ~on).select("n_name", "c_custkey", place.alias("n")).where("n <= 5").groupBy("n_name").agg(F.array_sort(F.collect_list("c_custkey")).alias("m"))
-    return counts.join(some, "n_name", "left").select("n_name", "users", "enabled", "admins", "admins_enabled", F.coalesce("m", F.array().cast("array<bigint>")).alias("first_missing"))
+    missing = rows.where(admin & ~on).select("n_name", F.col("c_custkey").alias("missing"))
+    return counts.join(missing, "n_name", "left").select("n_name", "users", "enabled", "admins", "admins_enabled", "missing")
 
 
 @query("""
