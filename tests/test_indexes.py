@@ -150,3 +150,32 @@ def test_a_table_is_replaced_whole(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     stored.replace_table(spark.range(5), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Neither to be indexed nor to be found, by a term that all segments hold: texts stay in their task."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("common words "), F.sha2(F.col("id").cast("string"), 512)).alias("content"))
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    termindex.write_index(df, KEYS, "content", str(tmp_path / "i"))
+    assert shuffled() - before < 1000
+    found = termindex.TermIndex(spark, str(tmp_path / "i"), KEYS).search(["common"])
+    found.write.format("noop").mode("overwrite").save()
+    assert shuffled() - before < 500_000 and found.count() == 20_000  # the texts have 2.8 MB, their lists 0.2
+
+
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_segments_of_two_tasks_and_lists_too_many_to_send(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(termindex, "SEGMENT", 64)
+    df = spark.range(0, 1000, 1, 3).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(" end")).alias("content"))
+    termindex.write_index(df, KEYS, "content", str(tmp_path / "i"))
+    ix = termindex.TermIndex(spark, str(tmp_path / "i"), KEYS)
+    spread = ix.postings.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("numbers", F.expr("filter(numbers, n -> n % 2 = half)")).where("size(numbers) > 0")
+    ix.postings = spread.drop("half")  # as if each segment lay in two tasks
+    monkeypatch.setattr(termindex, "NAMED", 0)
+    monkeypatch.setattr(termindex, "SENT", sent)
+    assert sorted(r["doc_id"] for r in ix.search(["12", "end"]).collect()) == [i for i in range(1000) if "12" in str(i)]
