@@ -1,7 +1,8 @@
 """Directed graphs as edge tables (node, ancestor): layers by peeling, and what reaches a node, a front at a time.
 
-Each round joins only the front of the round before with the edges, by ancestor, and is cut by a checkpoint. Nothing
-is collected but counts; the number of rounds is the length of the longest path, not the number of nodes.
+Each round joins only the front of the round before with the edges, by ancestor, and is cut by a checkpoint. In layers a
+small front is sent to the edges, and a round with a large one leaves the edges that it has used behind. Nothing is
+collected but counts; the number of rounds is the length of the longest path, not the number of nodes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .frames import checkpointed
 
+#: Nodes of a front that is sent to all edges at most.
+SMALL = 50_000
+
 
 def simple(edges: DataFrame) -> DataFrame:
     """Each edge once, without loops and nulls."""
@@ -25,15 +29,24 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = edges.groupBy("node").agg(F.count("*").alias("needs"))
     every = checkpointed(nodes.select("node").distinct().join(degree, "node", "left").select("node", F.coalesce("needs", F.lit(0)).alias("needs")))
     done = front = checkpointed(every.where("needs = 0").select("node", F.lit(0).alias("layer")))
+    # an edge knows what its node needs, so that no round asks all nodes
+    ahead = checkpointed(edges.join(every.where("needs > 0"), "node").select("ancestor", "node", "needs"))
     waiting = None  # node, needs, met: nodes that some numbered ones lead to, but not all
+    size = front.count()
     for depth in range(1, every.count() + 1):
-        met = front.select(F.col("node").alias("ancestor")).join(edges, "ancestor").groupBy("node").agg(F.count("*").alias("met"))
-        met = met.join(every, "node").select("node", "needs", "met")
+        used = front.select(F.col("node").alias("ancestor"))
+        if size <= SMALL:
+            hit = ahead.join(F.broadcast(used), "ancestor")
+        else:
+            told = checkpointed(ahead.join(used.withColumn("hit", F.lit(True)), "ancestor", "left"))
+            hit, ahead = told.where("hit"), told.where("hit is null").drop("hit")
+        met = hit.groupBy("node").agg(F.max("needs").alias("needs"), F.count("*").alias("met"))
         if waiting is not None:
             met = waiting.unionByName(met).groupBy("node").agg(F.max("needs").alias("needs"), F.sum("met").alias("met"))
         met = checkpointed(met)
         front = met.where("met = needs").select("node", F.lit(depth).alias("layer"))
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
         waiting = met.where("met < needs")
         done = done.unionByName(front)

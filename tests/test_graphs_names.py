@@ -32,6 +32,20 @@ def upstream(n, deps):
     return seen
 
 
+@pytest.mark.parametrize("small", [0, 20])
+@pytest.mark.parametrize("seed, back", [(4, 0), (5, 15)])
+def test_layers_by_fronts_that_are_not_sent(spark, monkeypatch, seed, back, small):
+    """Rounds with a large front leave its edges behind; small ones that follow find the others."""
+    monkeypatch.setattr(graphs, "SMALL", small)
+    r = random.Random(seed)
+    edges = {(b, a) for a, b in (sorted(r.sample(range(90), 2)) for _ in range(150))} | {tuple(sorted(r.sample(range(90), 2))) for _ in range(back)}
+    deps = {}
+    for node, ancestor in edges:
+        deps.setdefault(node, set()).add(ancestor)
+    got = graphs.layers(spark.range(90).withColumnRenamed("id", "node"), spark.createDataFrame(list(edges), "node long, ancestor long"))
+    assert {x["node"]: (x["layer"], x["cyclic"]) for x in got.collect()} == brute_layers(range(90), deps)
+
+
 @pytest.mark.parametrize("seed, back", [(1, 0), (2, 3), (3, 15)])
 def test_layers_and_causes_on_random_graphs(spark, seed, back):
     r = random.Random(seed)
