@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import pyarrow as pa
@@ -88,9 +88,19 @@ def chunk_paragraphs(text: str, size: int = 600, overlap: int = 80) -> list[str]
     return [c.strip() for c in joined if c.strip()]
 
 
+#: Rows of a batch whose texts are Python objects at a time.
+SLICE = 64
+
+
+def sliced(n: int, kind: pa.DataType, rows: Callable[[slice], Iterable]) -> pa.Array:
+    """An array of n values that rows gives a few at a time, so that a batch's texts don't all lie in Python at once."""
+    parts = [pa.array(rows(slice(i, min(n, i + SLICE))), kind) for i in range(0, n, SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def chunk_text(texts: pa.Array) -> pa.Array:
-    return pa.array((chunk_paragraphs(t or "") for t in texts.to_pylist()), pa.list_(pa.string()))
+    return sliced(len(texts), pa.list_(pa.string()), lambda s: [chunk_paragraphs(t or "") for t in texts[s].to_pylist()])
 
 
 # The shortest quote that is looked for in normal form, and how long the beginnings are that stand for one.
@@ -167,16 +177,16 @@ def chunk_anchors(text: str, chunks: list[str | None], overlap: int = 80) -> lis
 def anchor_chunks(texts: pa.Array, chunks: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("how", pa.string()), *((n, pa.int32()) for n in ("start", "stop", "at"))]))
     none = {"how": None, "start": None, "stop": None, "at": None}
-    rows = [[dict(zip(none, f)) if f else none for f in chunk_anchors(t.as_py() or "", c.as_py() or [])] for t, c in zip(texts, chunks)]
-    return pa.array(rows, kind)
+    told = lambda t, c: [dict(zip(none, f)) if f else none for f in chunk_anchors(t or "", c or [])]
+    return sliced(len(texts), kind, lambda s: [told(t, c) for t, c in zip(texts[s].to_pylist(), chunks[s].to_pylist())])
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tier", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
 def anchor_quotes(texts: pa.Array, quotes: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("tier", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
     none = {"tier": None, "start": None, "stop": None}
-    rows = ([dict(zip(none, f)) if f else none for f in anchors(t or "", q or [])] for t, q in zip(texts.to_pylist(), quotes.to_pylist()))
-    return pa.array(rows, kind)
+    told = lambda t, q: [dict(zip(none, f)) if f else none for f in anchors(t or "", q or [])]
+    return sliced(len(texts), kind, lambda s: [told(t, q) for t, q in zip(texts[s].to_pylist(), quotes[s].to_pylist())])
 
 
 # CJK characters between which a gap closes, those that the token estimate counts, garbled ones.

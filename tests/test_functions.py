@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -181,3 +182,18 @@ def test_metrics_with_bad_names_or_values_are_passed_over(spark):
 
     rows = spark.createDataFrame([(1, {"good": 1.0, "Bad": 2.0, "n": float("nan"), "i": float("-inf"), "none": None, "a.b_1": 3.0, "1st": 4.0}), (2, None), (3, {})], "k int, m map<string,double>")
     assert sorted(map(tuple, tall(rows, "k", "m").collect())) == [(1, "a.b_1", 3.0), (1, "good", 1.0)]
+
+
+def test_a_batch_is_cut_in_slices():
+    """A batch's texts don't lie in Python all at once; what comes out is as if they did."""
+    most = 0
+
+    def rows(part):
+        nonlocal most
+        most = max(most, part.stop - part.start)
+        return [[str(i)] * (i % 3) for i in range(part.start, part.stop)]
+
+    kind = pa.list_(pa.string())
+    for n in (0, 1, textfns.SLICE, 1000):
+        assert textfns.sliced(n, kind, rows).to_pylist() == [[str(i)] * (i % 3) for i in range(n)]
+    assert most == textfns.SLICE
