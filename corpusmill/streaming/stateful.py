@@ -60,11 +60,17 @@ def released(held: str, piece: str, mark: str) -> tuple[str, str, bool]:
     return text[: len(text) - keep], text[len(text) - keep :], False
 
 
+#: Groups that texts are dealt to by the digest of their id. A state call costs as much as the work on many pieces, so that
+#: a group's open texts are read and written together, once for each micro-batch that brings some of their pieces.
+SHARDS = 4096
+
+
 class UpToMark(StatefulProcessor):
-    """Lets the pieces of a text pass in the order of their numbers, up to a mark. Pieces that come too early wait. What is
-    held back goes out with the last piece, or, if that never comes, `patience` after the latest one."""
+    """Lets the pieces of texts pass, each text's in the order of their numbers, up to a mark. Pieces that come too early
+    wait. What is held back goes out with the last piece, or, if that never comes, `patience` after the latest one. A key is
+    a group of texts; its one timer is that of the text that is due first."""
 
-    STATE = "next int, held string, found boolean, waiting array<struct<seq: int, piece: string, last: boolean>>"
+    STATE = "text_id string, next int, held string, found boolean, latest bigint, waiting array<struct<seq: int, piece: string, last: boolean>>"
     SCHEMA = "text_id string, seq int, out string, found boolean"
 
     def __init__(self, mark: str, patience_ms: int = 600_000):
@@ -72,41 +78,73 @@ class UpToMark(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("text", self.STATE)
+        self.state = handle.getListState("texts", self.STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, held, found, early = self.state.get() if self.state.exists() else (0, "", False, [])
-        waiting, latest = {seq: (piece, last) for seq, piece, last in early or []}, 0
-        for frame in rows:
-            for seq, piece, last, ts in zip(frame["seq"], frame["piece"], frame["last"], frame["ts"]):
-                latest = max(latest, int(ts.timestamp() * 1000))
-                if seq >= following:  # else it came twice
-                    waiting[int(seq)] = (piece or "", bool(last))
+    def opened(self) -> dict[str, list]:
+        """What the state has of the group's texts."""
+        return {t: [following, held, found, latest, {x[0]: (x[1], x[2]) for x in early or []}] for t, following, held, found, latest, early in self.state.get()}
+
+    def due(self, texts: dict[str, list]) -> int | None:
+        """When the first of the texts is due."""
+        return min(t[3] for t in texts.values()) + self.patience if texts else None
+
+    def keep(self, texts: dict[str, list]) -> None:
+        if texts:
+            self.state.put([(t, *x[:4], [(seq, *y) for seq, y in sorted(x[4].items())]) for t, x in texts.items()])
+        else:
+            self.state.clear()
+
+    def passed(self, name: str, text: list) -> tuple[list[tuple], bool]:
+        """The rows that a text lets go of now, and whether it ends with them."""
+        following, held, found, _, waiting = text
         out, last = [], False
         while following in waiting and not last:
             piece, last = waiting.pop(following)
             if not found:
-                text, held, found = released(held, piece, self.mark)
+                shown, held, found = released(held, piece, self.mark)
                 if last and not found:
-                    text, held = text + held, ""
-                if text or found:
-                    out.append((key[0], following, text, found))
+                    shown, held = shown + held, ""
+                if shown or found:
+                    out.append((name, following, shown, found))
             following += 1
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if last:
-            self.state.clear()
-        else:
-            self.state.update((following, held, found, [(seq, *x) for seq, x in sorted(waiting.items())]))
-            self.handle.registerTimer(latest + self.patience)
+        text[:3] = following, held, found
+        return out, last
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        texts = self.opened()
+        before, moved = self.due(texts), {}
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[ms]").astype("int64")
+            for name, seq, piece, last, ms in zip(*(frame[c].tolist() for c in ("text_id", "seq", "piece", "last")), at.tolist()):
+                text = moved[name] = texts.setdefault(name, [0, "", False, ms, {}])
+                text[3] = max(text[3], ms)
+                if seq >= text[0]:  # else it came twice
+                    text[4][seq] = (piece or "", bool(last))
+        out = []
+        for name, text in moved.items():
+            gone, last = self.passed(name, text)
+            out += gone
+            if last:
+                del texts[name]
+        self.keep(texts)
+        if (after := self.due(texts)) != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
         if out:
             yield pd.DataFrame(out, columns=["text_id", "seq", "out", "found"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        following, held, found, _ = self.state.get()
-        self.state.clear()
-        if held and not found:
-            yield pd.DataFrame([(key[0], following, held, False)], columns=["text_id", "seq", "out", "found"])
+        texts, now = self.opened(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        ended = {name: text for name, text in texts.items() if text[3] + self.patience <= now}
+        texts = {name: text for name, text in texts.items() if name not in ended}
+        self.keep(texts)
+        if texts:
+            self.handle.registerTimer(self.due(texts))
+        out = [(name, following, held, False) for name, (following, held, found, _, _) in ended.items() if held and not found]
+        if out:
+            yield pd.DataFrame(out, columns=["text_id", "seq", "out", "found"])
 
     def close(self) -> None:
         pass
@@ -115,7 +153,8 @@ class UpToMark(StatefulProcessor):
 def up_to_mark(pieces: DataFrame, mark: str, patience_ms: int = 600_000) -> DataFrame:
     """text_id, seq, out, found: what may be shown of texts that stream in as pieces (text_id, seq, piece, last, ts, with a
     watermark on ts). The outs of a text, by seq, join to what stands before the mark."""
-    return pieces.groupBy("text_id").transformWithStateInPandas(UpToMark(mark, patience_ms), UpToMark.SCHEMA, "Append", "EventTime")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(SHARDS)))
+    return dealt.groupBy("shard").transformWithStateInPandas(UpToMark(mark, patience_ms), UpToMark.SCHEMA, "Append", "EventTime")
 
 
 #: The mark that the query looks for, the length of its pieces, files that these arrive in, and texts whose last piece is lost.

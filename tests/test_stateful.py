@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +59,81 @@ def test_texts_up_to_a_mark_whatever_the_batches(spark, tmp_path, files, per_bat
     assert {r["text_id"] for r in got if r["found"]} == {"a", "c", "d"}
 
 
+class Calls:
+    """A handle whose state is a list, with what was asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.asked = [], set(), []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.asked.append("put")
+        self.rows = rows
+
+    def clear(self):
+        self.asked.append("clear")
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.asked.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.asked.append("delete")
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at + 1
+
+
+def test_texts_of_a_group_share_their_state_calls_but_not_their_timers():
+    handle, processor = Calls(), stateful.UpToMark(MARK, 1000)
+    processor.init(handle)
+
+    def rows(seq, last, *of):
+        return pd.DataFrame([(f"t{i}", seq, f"{i} text [[E" if seq == 0 else "ND]] rest", last, pd.Timestamp(i, unit="ms")) for i in of], columns=["text_id", "seq", "piece", "last", "ts"])
+
+    take = lambda *frames: [tuple(r) for out in processor.handleInputRows((0,), iter(frames), None) for r in out.itertuples(index=False)]
+    assert sorted(take(rows(0, False, *range(100, 200)), rows(0, False, *range(200, 500)))) == [(f"t{i}", 0, f"{i} text ", False) for i in range(100, 500)]
+    assert handle.asked == ["get", "put", "register"] and handle.timers == {1100}
+    handle.asked.clear()
+    assert take(rows(1, True, *range(100, 497))) == [(f"t{i}", 1, "", True) for i in range(100, 497)]
+    assert handle.asked == ["get", "put", "delete", "register"] and handle.timers == {1497}
+    for due, after in ((1497, {1498}), (1498, {1499}), (1499, set())):
+        gone = [tuple(r) for out in processor.handleExpiredTimer((0,), Clock(due), Clock(due)) for r in out.itertuples(index=False)]
+        handle.timers.discard(due)  # as Spark does
+        assert gone == [(f"t{due - 1000}", 1, "[[E", False)] and handle.timers == after
+    assert handle.rows == []
+
+
+@pytest.mark.parametrize("shards", [1, 2])
+def test_texts_of_one_group_stay_apart(spark, tmp_path, monkeypatch, shards):
+    monkeypatch.setattr(stateful, "SHARDS", shards)
+    texts = {f"t{i}": ("a" * i + ("[[END]] more" if i % 2 else " [[E")) for i in range(12)}
+    start = 1_700_000_000
+    rows = [(k, i // 5, t[i : i + 5], i + 5 >= len(t) and k != "t4", start + 60 * i) for k, t in texts.items() for i in range(0, len(t), 5)]
+    schema = "text_id string, seq int, piece string, last boolean, at long"
+    stream = streamed(spark, f"{tmp_path}/in", rows, schema, 3, 1, random.Random(shards))
+    spark.createDataFrame([("z", 0, "", True, start + 90_000)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = stream.withColumn("ts", F.timestamp_seconds("at")).drop("at").withWatermark("ts", "2 hours")
+    got = stateful.run(stateful.up_to_mark(stream, MARK, 3_600_000), str(tmp_path)).orderBy("text_id", "seq").collect()
+    assert {k: "".join(r["out"] for r in got if r["text_id"] == k) for k in texts} == {k: t.split(MARK)[0] for k, t in texts.items()}
+
+
 def plain_tally(rows, every, most, end):
     """The rows of one tally in order, one by one."""
     out, since, counts, others = [], None, {}, 0
