@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.frames import checkpointed
 from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
 
-from .signals import CHANGES, LATEST, SIGNALS, base_signals, latest_per_broker, median_rating, moves
+from .signals import CHANGES, LATEST, SIGNALS, base_signals, latest_per_broker, median_rating, moves, within
 
 
 @query(CHANGES + """, bounds AS (SELECT instrument, max(signal_date) AS as_of FROM signals GROUP BY instrument)
@@ -85,13 +86,16 @@ SELECT instrument, name, brokers, median_rating, currency, median AS median_targ
 """)
 def instrument_overview(spark: SparkSession, d: str) -> DataFrame:
     """All that an instrument's first page shows in one row."""
-    signals = base_signals(spark, d)
-    latest = latest_per_broker(signals)
+    newest = F.max_by(F.struct("signal_date", "rating", "target", "currency"), "signal_date")
+    brokers = moves(base_signals(spark, d)).groupBy("instrument", "broker").agg(F.count_if(F.col("rating") != F.col("prev_rating")).alias("e"), newest.alias("s"))
+    brokers = checkpointed(brokers.select("instrument", "broker", "e", "s.*"))
+    latest = within(brokers)
     rated = latest.groupBy("instrument").agg(F.count("*").alias("brokers"), median_rating(F.col("rating")).alias("median_rating"))
-    medians = interpolated(latest, ["instrument", "currency"], "target", {"m": 0.5}).select("instrument", "currency", F.round("m", 6).alias("median_target"))
-    money = latest.groupBy("instrument", "currency").agg(F.count("*").alias("k")).join(medians, ["instrument", "currency"], "left")
+    medians = interpolated(latest, ["instrument", "currency"], "target", {"m": 0.5}).select(F.col("instrument").alias("_of"), F.col("currency").alias("_in"), F.round("m", 6).alias("median_target"))
+    same = F.col("instrument").eqNullSafe(F.col("_of")) & F.col("currency").eqNullSafe(F.col("_in"))
+    money = latest.groupBy("instrument", "currency").agg(F.count("*").alias("k")).join(medians, same, "left")
     primary = money.groupBy("instrument").agg(F.max_by(F.struct("currency", "median_target"), F.struct("k", -F.col("currency"))).alias("x")).select("instrument", "x.*")
-    events = moves(signals).where("rating <> prev_rating").groupBy("instrument").agg(F.count("*").alias("e"))
+    events = brokers.groupBy("instrument").agg(F.sum("e").alias("e"))
     names = load(spark, d, "part").groupBy(F.col("p_brand").alias("instrument")).agg(F.min("p_name").alias("name"))
     rows = rated.join(primary, "instrument").join(names, "instrument").join(events, "instrument", "left")
     n = F.coalesce("e", F.lit(0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.frames import checkpointed
+from corpusmill.plans.frames import checkpointed, small_or_not
 from corpusmill.plans.ranks import interpolated
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import load
@@ -32,23 +32,32 @@ CHANGES = SIGNALS + """, moved AS (
 
 
 def base_signals(spark: SparkSession, d: str) -> DataFrame:
-    """instrument, broker, signal_date, rating, target, currency: one row for each of the first three."""
-    lines = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    lines = lines.join(load(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return lines.groupBy(F.col("p_brand").alias("instrument"), F.col("l_suppkey").alias("broker"), F.to_date("o_orderdate").alias("signal_date")).agg(
-        F.max(3 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("rating"),
-        F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("target"),
-        F.max(F.col("s_nationkey") % 3).alias("currency"),
-    )
+    """instrument, broker, signal_date, rating, target, currency: one row for each of the first three. The lines are shuffled
+    with what is needed of them; the currency is the broker's and joins the grouped rows."""
+    quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
+    target = F.when(quantity == 0, price * float("inf")).otherwise(price / quantity)
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_suppkey").alias("broker"), target.alias("target"))
+    parts = load(spark, d, "part").select("p_partkey", F.col("p_brand").alias("instrument"))
+    orders = load(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("signal_date"), F.substring("o_orderpriority", 1, 1).alias("priority"))
+    lines = lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = lines.groupBy("instrument", "broker", "signal_date").agg(F.max(3 - F.col("priority").cast("int")).alias("rating"), F.max("target").alias("target"))
+    brokers = load(spark, d, "supplier").groupBy(F.col("s_suppkey").alias("broker")).agg(F.max(F.col("s_nationkey") % 3).alias("currency"))
+    return rows.join(brokers, "broker").select("instrument", "broker", "signal_date", "rating", "target", "currency")
 
 
 def latest_per_broker(signals: DataFrame, days: int = 180) -> DataFrame:
-    """The newest signal of each broker, if it is within so many days of the instrument's newest. The newest dates come
-    from grouped maxima, so that no instrument is one window."""
+    """The newest signal of each broker, if it is within so many days of the instrument's newest. The newest signals are
+    computed once, however often the result is read."""
     columns = [c for c in signals.columns if c not in ("instrument", "broker")]
     newest = signals.groupBy("instrument", "broker").agg(F.max_by(F.struct(*columns), "signal_date").alias("s")).select("instrument", "broker", "s.*")
-    anchor = newest.groupBy("instrument").agg(F.max("signal_date").alias("last_date"))
-    return newest.join(anchor, "instrument").where(F.datediff("last_date", "signal_date") <= days).drop("last_date")
+    return within(checkpointed(newest), days)
+
+
+def within(newest: DataFrame, days: int = 180) -> DataFrame:
+    """Rows whose signal_date is within so many days of the instrument's newest. The newest dates come from grouped maxima,
+    so that no instrument is one window. newest is read twice."""
+    anchor = small_or_not(newest.groupBy(F.col("instrument").alias("_of")).agg(F.max("signal_date").alias("last_date")))
+    return newest.join(anchor, F.col("instrument").eqNullSafe(F.col("_of"))).where(F.datediff("last_date", "signal_date") <= days).drop("_of", "last_date")
 
 
 def median_rating(rating: Column) -> Column:
