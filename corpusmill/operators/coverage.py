@@ -64,13 +64,17 @@ SELECT t.instrument, brokers_total, coalesce(brokers_extracted, 0) AS brokers_ex
 FROM total t LEFT JOIN got USING (instrument) LEFT JOIN used USING (instrument)
 """)
 def coverage_states(spark: SparkSession, d: str) -> DataFrame:
-    """How far the brokers of an instrument are read: none yet, some only in part, none in the window, not all, all."""
+    """How far the brokers of an instrument are read: none yet, some only in part, none in the window, not all, all. Signals
+    are read once: brokers are counted by instrument and newest date, and the window is a sum over these dates."""
     lines = load(spark, d, "lineitem").join(load(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     total = lines.groupBy(F.col("p_brand").alias("instrument")).agg(F.countDistinct("l_suppkey").alias("brokers_total"))
-    signals = base_signals(spark, d)
-    got = signals.where("broker % 10 <> 0").groupBy("instrument").agg(F.countDistinct("broker").alias("e"), F.bool_or(F.col("rating") == -2).alias("partial"))
-    used = latest_per_broker(signals).where("broker % 10 <> 0").groupBy("instrument").agg(F.count("*").alias("u"))
-    rows = total.join(got, "instrument", "left").join(used, "instrument", "left")
+    brokers = base_signals(spark, d).groupBy("instrument", "broker").agg(F.max("signal_date").alias("newest"), F.bool_or(F.col("rating") == -2).alias("partial"))
+    read = F.col("broker") % 10 != 0
+    days = brokers.groupBy("instrument", "newest").agg(F.count_if(read).alias("k"), F.bool_or(F.when(read, F.col("partial"))).alias("partial"))
+    days = days.withColumn("last_date", F.max("newest").over(Window.partitionBy("instrument")))
+    counted = lambda c: F.nullif(F.sum(c), F.lit(0))
+    got = days.groupBy("instrument").agg(counted(F.col("k")).alias("e"), F.bool_or("partial").alias("partial"), counted(F.when(F.datediff("last_date", "newest") <= 180, F.col("k"))).alias("u"))
+    rows = total.join(got, "instrument", "left")
     state = (
         F.when(F.col("e").isNull(), "pending").when(F.col("partial") & (F.col("e") % 2 == 0), "partial").when(F.col("u").isNull(), "window empty").when(F.col("e") < F.col("brokers_total"), "partial").otherwise("ok")
     )

@@ -76,7 +76,7 @@ def test_signals_of_odd_orders(spark, both, name):
         assert states["unread"] == states[None] == "pending" and set(states) == {"b0", "b1", "b2", "b3", "only", "unread", None}
 
 
-@pytest.mark.parametrize("name, most", [("instrument_overview", 0), ("consensus_rating", 0), ("stance_page", 0)])
+@pytest.mark.parametrize("name, most", [("coverage_states", 2), ("instrument_overview", 0), ("consensus_rating", 0), ("stance_page", 0)])
 def test_signals_are_read_once(spark, tmp_path, name, most):
     """Lines are left in the plan only where they are read for the first time."""
     for table, df in order_tables(spark).items():
